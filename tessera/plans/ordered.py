@@ -1,21 +1,24 @@
 """Order-dependent numbering and running totals that stay balanced under skew.
 
-``row_number()``/running ``sum()`` over ``Window.partitionBy(g)`` sends every row
-of a group to one task. When one group may hold a third of all rows, that task
-is the whole job. The helpers here compute the same values in three balanced
-steps:
-
-1. ``repartitionByRange(n, g…, order…)`` — a hot group is cut into several
-   contiguous ranges, each in its own partition;
-2. a window over ``(g…, partition id)`` numbers rows / sums values inside each
-   slice (bounded by the partition size);
-3. per-slice totals (at most ``#groups + #partitions`` rows) are turned into
-   offsets by a window over ``g`` ordered by partition id, and joined back on
-   ``(g…, partition id)``.
-
-The range exchange sits below the partition-id projection, so both branches
-read the same (reused) exchange and agree on slice ids; a lost executor replays
-the same shuffle dependency, hence the same bounds.
+``row_number()`` / running ``sum()`` over ``Window.partitionBy(g)`` sends every
+row of a group to one task. When one group may hold a third of all rows, that
+task is the whole job. The helpers here compute the same values in balanced
+steps, using only deterministic expressions (so every plan branch, and every
+task retry after a lost executor, assigns rows to the same slice):
+
+1. exact per-group ``count``/``min``/``max`` of the leading order key (a partial
+   aggregate); a group with more than ``slice_rows`` rows is cut into
+   ``S = ceil(count / slice_rows)`` slices of equal key *range*, so slice ids
+   grow with the order key;
+2. a window over ``(g…, slice)`` numbers rows / sums values inside each slice;
+3. per-slice totals (one row per slice) become offsets through a window over
+   ``g`` ordered by slice — at most ``S`` rows per group — joined back on
+   ``(g…, slice)``.
+
+Slices split on key range, so a group whose rows share one key value stays in
+one slice (still exact, just not split). Step 1's join back is on the group
+key; AQE's skew-join handling splits a hot group there, since the other side
+has one row per group.
 The caller must give a total order (add a unique tiebreak column).
 """
 
@@ -23,59 +26,80 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_PID = "_slice"
+_S = "_slice"
+SLICE_ROWS_CONF = "tessera.ordered.sliceRows"
+DEFAULT_SLICE_ROWS = 2_000_000
 
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _numeric(df: DataFrame, c) -> Column:
+    """The leading order key as a number that preserves its order."""
+    if isinstance(c, str):
+        dtype = df.schema[c].dataType
+        col = F.col(c)
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(col.cast("timestamp"))
+        if isinstance(dtype, T.DateType):
+            return F.unix_date(col).cast("long")
+        return col.cast("double")
+    return c.cast("double")
+
+
+def slice_rows(spark) -> int:
+    return int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
+
+
 def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list, seq: str | None = "seq",
-                 sums: dict[str, Column] | None = None, n_parts: int | None = None) -> DataFrame:
-    """Add ``seq`` (1-based row number) and running sums ``{name: expr}`` per group."""
+                 sums: dict[str, Column] | None = None, rows_per_slice: int | None = None) -> DataFrame:
+    """Add ``seq`` (1-based row number) and running sums ``{name: expr}`` per group,
+    in the order of ``order_cols`` (the first must be numeric, date or timestamp)."""
     sums = sums or {}
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    order = _cols(order_cols)
-    staged = df
+    per = rows_per_slice or slice_rows(df.sparkSession)
+    staged = df.withColumn("_k0", _numeric(df, order_cols[0]))
     for name, expr in sums.items():
         staged = staged.withColumn(f"_v_{name}", expr)
-    sliced = (staged.repartitionByRange(n, *_cols(group_cols), *order)
-              .withColumn(_PID, F.spark_partition_id()))
-    w_local = (Window.partitionBy(*group_cols, _PID).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    shape = staged.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_k0").alias("_kmin"), F.max("_k0").alias("_kmax"))
+    n_slices = F.ceil(F.col("_n") / F.lit(per))
+    span = (F.col("_kmax") - F.col("_kmin")).cast("double") + F.lit(1.0)
+    slice_id = F.when(n_slices <= 1, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_k0") - F.col("_kmin")).cast("double") * n_slices / span), n_slices - 1)
+    ).cast("long")
+    sliced = (staged.join(shape, group_cols).withColumn(_S, slice_id)
+              .drop("_n", "_kmin", "_kmax", "_k0"))
+
+    order = _cols(order_cols)
+    w_slice = Window.partitionBy(*group_cols, _S).orderBy(*order)
+    w_run = w_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sliced
     if seq:
-        local = local.withColumn("_lrn", F.row_number().over(Window.partitionBy(*group_cols, _PID).orderBy(*order)))
+        local = local.withColumn("_lrn", F.row_number().over(w_slice))
     for name in sums:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_local))
+        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_run))
 
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
-    stats = sliced.groupBy(*group_cols, _PID).agg(*aggs)
-    w_prev = (Window.partitionBy(*group_cols).orderBy(_PID)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    stats = sliced.groupBy(*group_cols, _S).agg(*aggs)
+    w_prev = Window.partitionBy(*group_cols).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.select(
-        *group_cols, _PID,
+        *group_cols, _S,
         F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)).alias("_o_cnt"),
         *[F.sum(f"_t_{name}").over(w_prev).alias(f"_o_{name}") for name in sums])
 
-    out = local.join(offs, [*group_cols, _PID])
+    out = local.join(offs, [*group_cols, _S])
     if seq:
         out = out.withColumn(seq, (F.col("_lrn") + F.col("_o_cnt")).cast("int"))
     for name in sums:
         out = out.withColumn(name, F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
-    drop = [_PID, "_lrn", "_o_cnt"] + [f"_{p}_{name}" for name in sums for p in ("v", "l", "o")]
+    drop = [_S, "_lrn", "_o_cnt"] + [f"_{p}_{name}" for name in sums for p in ("v", "l", "o")]
     return out.drop(*drop)
 
 
-def group_rank(df: DataFrame, group_cols: list[str], value_col: str, seq_col: str, name: str = "rank") -> DataFrame:
-    """SQL ``rank()`` from a sequence ordered by ``value_col`` first: ties share the
-    smallest sequence number of their (group, value)."""
-    firsts = df.groupBy(*group_cols, value_col).agg(F.min(seq_col).alias(name))
-    return df.join(firsts, [*group_cols, value_col])
-
-
 def previous_value(df: DataFrame, group_cols: list[str], seq_col: str, value_cols: list[str],
                    prefix: str = "prev_") -> DataFrame:
     """``lag(v, 1)`` as an equi-join on ``(group, seq - 1)``: no hot key, since the
