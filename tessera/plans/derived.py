@@ -178,3 +178,61 @@ def rounds(lineitem: DataFrame, max_rounds: int = 3) -> DataFrame:
         F.when(F.col("x.l_returnflag") == "R", 1).otherwise(0).alias("schema_errors"),
         F.concat(F.lit("q"), F.col("l_orderkey").cast("string"), F.lit(":"),
                  F.col("x.l_partkey").cast("string")).alias("sql"))
+
+
+def regrade_input(runs_df: DataFrame, questions_df: DataFrame) -> DataFrame:
+    """Stored grades plus new ones: a grade is right when the answer's variant
+    (text after ':') equals the gold variant. Fixed values: drafts of questions
+    with id % 17 = 0 are partial (draft SQL ''); questions with id % 19 = 0 have
+    no gold and are skipped."""
+    gold = questions_df.where(F.col("question_id") % 19 != 0).select("question_id", "gold_sql")
+    r = runs_df.select("arm", "question_id", "correct", "draft_correct", "sql",
+                       F.when(F.col("question_id") % 17 == 0, F.lit("")).otherwise(F.col("draft_sql")).alias("draft_sql"))
+    j = r.join(gold, "question_id", "left")
+    variant = lambda c: F.substring_index(c, ":", -1)
+    return j.select(
+        "arm", "question_id", "correct", "draft_correct",
+        F.col("gold_sql").isNull().alias("skipped"),
+        (F.col("draft_sql") == "").alias("ungradable"),
+        F.coalesce(variant(F.col("sql")) == variant(F.col("gold_sql")), F.lit(False)).alias("final_now"),
+        F.coalesce((F.col("draft_sql") != "") & (variant(F.col("draft_sql")) == variant(F.col("gold_sql"))),
+                   F.lit(False)).alias("draft_now"))
+
+
+# Query-log templates. Placeholders are filled from one `part`
+# row; template index = p_partkey % len(QUERY_TEMPLATES).
+QUERY_TEMPLATES = [
+    "SELECT p_name FROM part WHERE p_brand = '{brand}'",
+    "SELECT p_type, count(*) FROM part WHERE p_size > {size} GROUP BY p_type ORDER BY 2 DESC",
+    "SELECT c.c_name, o.o_totalprice FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > {size}00",
+    "SELECT p_name FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > {size})",
+    "SELECT n.n_name, avg(c.c_acctbal) FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name HAVING avg(c.c_acctbal) > {size}",
+    "SELECT p_name, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC) FROM part WHERE p_type = '{type}'",
+    "SELECT e.p_name, m.p_name FROM part e JOIN part m ON e.p_size = m.p_size WHERE e.p_brand = '{brand}'",
+    "SELECT sum(l_extendedprice * (1 - l_discount)) / count(*) FROM lineitem WHERE l_partkey = {key}",
+    "SELECT CASE WHEN p_size > {size} THEN 'big' ELSE 'small' END, count(*) FROM part GROUP BY 1",
+    "DELETE FROM part WHERE p_brand = '{brand}'",
+    "SELECT p_name FROM part; DROP TABLE part",
+    "-- list parts\nSELECT p_name /* all of them */ FROM part WHERE p_name LIKE '%{name}%'",
+    "UPDATE part SET p_size = {size} WHERE p_partkey = {key}",
+    "SELECT load_extension('x') FROM part WHERE p_partkey = {key}",
+    "   ",
+    "WITH t AS (SELECT p_type, sum(p_retailprice) AS s FROM part GROUP BY p_type) SELECT p_type FROM t WHERE s > {size} ORDER BY s",
+    "PRAGMA table_info(part)",
+    "SELECT p_name FROM part WHERE p_name = 'it''s {name}; -- ORDER BY' AND p_size IN (SELECT max(p_size) FROM parts)",
+]
+
+
+def query_log(spark, part: DataFrame) -> DataFrame:
+    """REL-style templates × values from ``part``: one SQL text per part."""
+    from .joins import one_row  # noqa: F401 - small fixed table below
+    tpl = spark.createDataFrame(list(enumerate(QUERY_TEMPLATES)), "tpl_id int, tpl string")
+    p = part.select("p_partkey", "p_brand", "p_type", "p_size", "p_name",
+                    (F.col("p_partkey") % len(QUERY_TEMPLATES)).cast("int").alias("tpl_id"))
+    j = p.join(F.broadcast(tpl), "tpl_id")
+    sql = F.col("tpl")
+    for ph, val in (("{brand}", F.col("p_brand")), ("{size}", F.col("p_size").cast("string")),
+                    ("{type}", F.col("p_type")), ("{name}", F.col("p_name")),
+                    ("{key}", F.col("p_partkey").cast("string"))):
+        sql = F.replace(sql, F.lit(ph), val)
+    return j.select(F.col("p_partkey").alias("query_id"), "tpl_id", sql.alias("sql"))

@@ -81,3 +81,25 @@ ROUNDS = """rounds AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+REGRADE = """graded AS (
+  SELECT r.arm, r.question_id, r.correct, r.draft_correct, g.gold_sql IS NULL AS skipped,
+         r.question_id % 17 = 0 AS ungradable,
+         coalesce(split_part(r.sql, ':', 2) = split_part(g.gold_sql, ':', 2), false) AS final_now,
+         coalesce(r.question_id % 17 <> 0 AND split_part(r.draft_sql, ':', 2) = split_part(g.gold_sql, ':', 2), false) AS draft_now
+  FROM runs r LEFT JOIN (SELECT question_id, gold_sql FROM questions WHERE question_id % 19 <> 0) g
+    ON r.question_id = g.question_id)"""
+
+
+def _query_log_sql() -> str:
+    from .derived import QUERY_TEMPLATES
+    vals = ",\n    ".join("(%d, '%s')" % (i, t.replace("'", "''")) for i, t in enumerate(QUERY_TEMPLATES))
+    return f"""tpl(tpl_id, tpl) AS (VALUES {vals}),
+query_log AS (
+  SELECT p_partkey AS query_id, t.tpl_id,
+         replace(replace(replace(replace(replace(t.tpl, '{{brand}}', p_brand), '{{size}}', CAST(p_size AS VARCHAR)),
+                 '{{type}}', p_type), '{{name}}', p_name), '{{key}}', CAST(p_partkey AS VARCHAR)) AS sql
+  FROM part JOIN tpl t ON t.tpl_id = CAST(p_partkey % {len(QUERY_TEMPLATES)} AS INTEGER))"""
+
+
+QUERY_LOG = _query_log_sql()

@@ -71,7 +71,8 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list, seq: st
     slice_id = F.when(n_slices <= 1, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_k0") - F.col("_kmin")).cast("double") * n_slices / span), n_slices - 1)
     ).cast("long")
-    sliced = (staged.join(shape, group_cols).withColumn(_S, slice_id)
+    joined = staged.join(shape, group_cols) if group_cols else staged.crossJoin(F.broadcast(shape))
+    sliced = (joined.withColumn(_S, slice_id)
               .drop("_n", "_kmin", "_kmax", "_k0"))
 
     order = _cols(order_cols)
