@@ -236,3 +236,32 @@ def query_log(spark, part: DataFrame) -> DataFrame:
                     ("{key}", F.col("p_partkey").cast("string"))):
         sql = F.replace(sql, F.lit(ph), val)
     return j.select(F.col("p_partkey").alias("query_id"), "tpl_id", sql.alias("sql"))
+
+
+def votes(lineitem: DataFrame) -> DataFrame:
+    """Reviewer votes from line items: question = order, reviewer = line number
+    (latest line per (order, line number)); approved when quantity > 25; a
+    missing vote (NULL) for open lines under 5 units; silent when flag N."""
+    latest = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max_by(F.struct("l_quantity", "l_returnflag", "l_linestatus", "l_discount"),
+                 F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("x"))
+    q = F.col("x.l_quantity")
+    approved = F.when((F.col("x.l_linestatus") == "O") & (q < 5), F.lit(None).cast("boolean")).otherwise(q > 25)
+    issue = (F.when(q > 25, F.lit("")).when(F.col("x.l_returnflag") == "N", F.lit(""))
+             .otherwise(F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" total looks wrong"))))
+    focus = F.when(F.col("l_linenumber") % 3 == 0, "joins").when(F.col("l_linenumber") % 3 == 1, "filters").otherwise("aggregates")
+    return latest.select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("reviewer"),
+                         focus.alias("focus"), approved.alias("approved"), issue.alias("issue"),
+                         (F.col("x.l_discount") == 0).alias("_schema_error"))
+
+
+def replies(conversations: DataFrame) -> DataFrame:
+    """Model replies: conversation text wrapped by a template chosen by turn % 6."""
+    t, m = F.col("text"), F.col("turn") % 6
+    reply = (F.when(m == 0, F.concat(F.lit("```sql\n"), t, F.lit("\n```")))
+             .when(m == 1, F.concat(F.lit("SQL: "), t))
+             .when(m == 2, F.concat(F.lit("Query:"), t))
+             .when(m == 3, F.concat(F.lit(" \n"), t, F.lit("\n ")))
+             .when(m == 4, F.concat(F.lit('Here you go: {"score": '), F.col("turn").cast("string"), F.lit(', "note": "ok"} thanks')))
+             .otherwise(t))
+    return conversations.select("conv_id", "turn", "role", "text", reply.alias("reply"))

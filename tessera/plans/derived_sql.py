@@ -103,3 +103,23 @@ query_log AS (
 
 
 QUERY_LOG = _query_log_sql()
+
+VOTES = """votes AS (
+  SELECT l_orderkey AS question_id, l_linenumber AS reviewer,
+         CASE WHEN l_linenumber % 3 = 0 THEN 'joins' WHEN l_linenumber % 3 = 1 THEN 'filters' ELSE 'aggregates' END AS focus,
+         CASE WHEN x.l_linestatus = 'O' AND x.l_quantity < 5 THEN NULL ELSE x.l_quantity > 25 END AS approved,
+         CASE WHEN x.l_quantity > 25 THEN '' WHEN x.l_returnflag = 'N' THEN ''
+              ELSE concat('line ', CAST(l_linenumber AS VARCHAR), ' total looks wrong') END AS issue,
+         x.l_discount = 0 AS schema_error
+  FROM (SELECT l_orderkey, l_linenumber,
+               max_by({'l_quantity': l_quantity, 'l_returnflag': l_returnflag, 'l_linestatus': l_linestatus, 'l_discount': l_discount},
+                      {'l_shipdate': l_shipdate, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey}) AS x
+        FROM lineitem GROUP BY l_orderkey, l_linenumber) t)"""
+
+REPLIES = """replies AS (
+  SELECT conv_id, turn, role, text,
+         CASE turn % 6 WHEN 0 THEN concat('```sql' || chr(10), text, chr(10) || '```') WHEN 1 THEN concat('SQL: ', text)
+                       WHEN 2 THEN concat('Query:', text) WHEN 3 THEN concat(' ' || chr(10), text, chr(10) || ' ')
+                       WHEN 4 THEN concat('Here you go: {"score": ', CAST(turn AS VARCHAR), ', "note": "ok"} thanks')
+                       ELSE text END AS reply
+  FROM conversations)"""
