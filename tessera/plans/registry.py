@@ -56,7 +56,7 @@ def on_tables(key: str, op, sql: str | None = None, **kw):
 
 def load_all():
     from . import keys_rel  # noqa: F401
-    for mod in ("keys_agg", "keys_grd", "keys_pro", "keys_val", "keys_misc", "keys_sim", "keys_str", "keys_src"):
+    for mod in ("keys_agg", "keys_grd", "keys_pro", "keys_val", "keys_pth", "keys_misc", "keys_sim", "keys_str", "keys_src"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
