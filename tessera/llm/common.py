@@ -5,9 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -53,11 +53,6 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
-    """A string column of a batch as UTF-8 bytes, without decoding it."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
 def is_local(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` holds at most ``max_rows`` rows (reads no more than that)."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -68,5 +63,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if is_local(df, max_rows) else df
 
 
-def arrow_schema(pairs: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(n, t) for n, t in pairs])
+def extended(fields: list[T.StructField], ddl: str) -> T.StructType:
+    """A schema of given fields, whatever their names, and further ones."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])

@@ -24,12 +24,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_broadcast, staged
 from .phrase_index import numbered, probe, shingle, stands, with_end_row, words
 
 WINDOW = 10
 SHINGLE = 3
 BLOCK = 50_000
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -75,23 +76,24 @@ def _covered(spans: Column) -> Column:
         F.greatest(a["end"], x["last"]).alias("end")), lambda a: a["n"])
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id, n_words, spans (first, last, item_id)``."""
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK, rows: DataFrame | None = None) -> DataFrame:
+    """One row per document: ``row, doc_id, n_words, spans (first, last, item_id)``;
+    ``rows`` gives documents that have been numbered before."""
     index = staged(prefix_index(items, window), "prefix-index")
     sizes = index.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per shingle size, three at most
     blocks_of = {r["size"]: -(-r["n"] // block) for r in sizes} or {SHINGLE: 1}
-    docs, passes = numbered(docs, sum(blocks_of.values())), []
+    rows, passes = rows if rows is not None else numbered(docs, sum(blocks_of.values())), []
     for size, blocks in sorted(blocks_of.items()):
         for b in range(blocks):
             part = index.where(F.col("size") == size).drop("size")
             if blocks > 1:
                 part = part.where(F.pmod(F.hash("token"), F.lit(blocks)) == b)
             end = not passes
-            found = probe(docs, with_end_row(part) if end else part, size, window, with_end=end)
+            found = probe(rows, with_end_row(part) if end else part, size, window, with_end=end)
             passes.append(found.select("row", "part", "doc_id", "n_words", _matches().alias("spans"), (F.col("at") == F.col("n_words")).alias("end"))
                           .where(F.col("end") | (F.size("spans") > 0)))
     return (reduce(DataFrame.unionAll, passes).groupBy("row", "part", "doc_id", "n_words")
-            .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).drop("row", "part"))
+            .agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).drop("part"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -101,3 +103,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         "doc_id", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), ids.alias("items"), "spans").select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The documents without a hit, all their columns. Numbers are written down first;
+    the contaminated ones are broadcast if few, else joined by shuffle."""
+    held = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "numbered-docs")
+    found = hits(docs, items, window, block, held.select("row", "doc.doc_id", "doc.text"))
+    gone = staged(found.where(F.size("spans") > 0).select("row"), "contaminated")
+    return held.join(bounded_broadcast(gone, MAX_BROADCAST_ROWS), "row", "left_anti").select("doc.*")

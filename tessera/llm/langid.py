@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
+
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 PER_LANGUAGE = 500
@@ -165,13 +167,12 @@ def identify(docs: DataFrame, model: dict, keep: list[Column | str] = ()) -> Dat
     """``doc_id``, the columns ``keep``, ``lang_pred``, ``score`` of every document."""
     held = docs.select("doc_id", *keep, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [predict(shared.value, v) for v in b.column("text").to_pylist()]
+            got = [predict(shared.value, v) for v in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(b.num_columns - 1)] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    return held.mapInArrow(run, schema + ", lang_pred string, score double")
+    return held.mapInArrow(run, extended(held.schema.fields[:-1], "lang_pred string, score double"))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, staged
+from .common import bounded_broadcast, extended, staged
 
 WORDS = 5
 SYMBOLS = 64
@@ -111,7 +111,10 @@ def set_key(x: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n_shingles, set_key, signature, text`` (key and signature null for an empty set)."""
+    """``row, doc_id, n_shingles, set_key, signature, text, doc`` (key and signature null
+    for an empty set; ``doc`` holds all columns but the id and text)."""
+    rest = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("doc")
+    docs = docs.select("doc_id", "text", rest)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +128,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                 signatures.append(signature(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + len(n)), pa.int64()), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(signatures, pa.list_(pa.int32())), b.column("text")],
-                names=["row", "doc_id", "n_shingles", "set_key", "signature", "text"])
+                 pa.array(signatures, pa.list_(pa.int32())), b.column("text"), b.column("doc")],
+                names=["row", "doc_id", "n_shingles", "set_key", "signature", "text", "doc"])
             row += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"row long, doc_id {id_type}, n_shingles long, set_key binary, signature array<int>, text string")
+    schema = extended([], f"row long, doc_id {id_type}, n_shingles long, set_key binary, signature array<int>, text string")
+    return docs.mapInArrow(run, schema.add(docs.schema["doc"]))
 
 
 def _confirmed(sketches: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -235,16 +238,31 @@ def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if links is None else links.unionAll(new)
 
 
-def near_duplicates(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, set_key`` of every document."""
-    sketches = staged(sketch(docs), "sketches")
+def _judged(sketches: DataFrame, light: int, rounds: int) -> DataFrame:
+    """``row, doc_id, n_shingles, set_key, component, component_id, kept`` of every sketch."""
     filled = sketches.where(F.col("set_key").isNotNull())
     nodes = staged(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     told = staged(filled.select(F.col("row").alias("node"), "n_shingles", "signature").join(nodes.select("node"), "node"), "signatures")
     labels = staged(link(sketches, told, light, rounds), "components")
     placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = staged(placed.select("set_key", "component").join(least, "component").select("set_key", "component_id"), "of-set")
-    return sketches.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_key").select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_key")
+    of_set = staged(placed.select("set_key", "component").join(least, "component"), "of-set")  # a hot set's join side can be split
+    joined = sketches.select("row", "doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    own = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.withColumn("component_id", own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document."""
+    sketches = staged(sketch(docs.select("doc_id", "text")), "sketches")
+    return _judged(sketches, light, rounds).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicate(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
+    """One document of each group, all its columns: a row of the smallest id (of several,
+    the first). Documents without words all stay."""
+    sketches = staged(sketch(docs), "sketches")
+    judged = staged(_judged(sketches, light, rounds).where("kept").select("row", "component"), "kept")
+    one = judged.groupBy(F.coalesce("component", -F.col("row") - 1).alias("group")).agg(F.min("row").alias("row")).select("row")
+    back = [F.col(c) if c in ("doc_id", "text") else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return sketches.join(one, "row", "left_semi").select(*back)

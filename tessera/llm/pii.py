@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+from .common import extended
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
 MAX_PIECES = 16
@@ -287,14 +289,13 @@ def _listed(spans) -> str:
 def detect(docs: DataFrame, keep: list[Column | str] = ()) -> DataFrame:
     """``doc_id``, the columns ``keep``, base counts, ``base_sha256``, ``spans`` and
     ``redacted`` (every span replaced by its kind in brackets)."""
-    held = docs.select("doc_id", *keep, docs["text"].alias("_text"))
+    held = docs.select("doc_id", *keep, "text")
     shared = docs.sparkSession.sparkContext.broadcast(np.frombuffer(fitted()).reshape(FEATURES, -1))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = b.column(b.num_columns - 1).to_pylist()
             found = [find(x, w) for x in texts]
             cols = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS]
             cols += [pa.array([hashlib.sha256(_listed(base).encode()).hexdigest() for base, _ in found]), pa.array([_listed(every) for _, every in found]),
@@ -302,7 +303,7 @@ def detect(docs: DataFrame, keep: list[Column | str] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + cols,
                                              names=[*b.schema.names[:-1], *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "redacted"])
 
-    return held.mapInArrow(run, schema + ", " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, redacted string")
+    return held.mapInArrow(run, extended(held.schema.fields[:-1], ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, redacted string"))
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

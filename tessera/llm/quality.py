@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
+
 PASSAGE = 320
 MAX_DOCUMENTS = 3000
 THRESHOLD = 0.3
@@ -153,15 +155,14 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS
 
 def classify(docs: DataFrame, model: dict | None, keep: list[Column | str] = ()) -> DataFrame:
     """The columns ``keep`` (``doc_id`` first), ``score`` and ``predicted`` of every document."""
-    held = docs.select("doc_id", *keep, F.col("text").alias("_text"))
+    held = docs.select("doc_id", *keep, F.col("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score(shared.value, b.column("_text").cast(pa.binary()).to_pylist())
+            s = score(shared.value, b.column(b.num_columns - 1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))],
                 names=[*b.schema.names[:-1], "score", "predicted"])
 
-    return held.mapInArrow(run, schema + ", score double, predicted int")
+    return held.mapInArrow(run, extended(held.schema.fields[:-1], "score double, predicted int"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, html_density, langid, license_scan, neardup, packing, pii, quality
-from .common import crc_bucket, read_table
+from . import decontaminate, divergence, html_density, langid, license_scan, neardup, packing, pii, quality, token_rollup
+from .common import crc_bucket, read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_neardup")
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("set_key")
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 @_query("op1_language_id")
@@ -92,3 +93,19 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents")).drop("redacted")
+
+
+@_query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive with estimated counts, are revised to exact ones, and those
+    labelled toxic are taken down; the first batch is delivered twice."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/tessera-llm/rollup-{uuid.uuid4().hex}")
+    version = "byte_bpe_50k"
+    estimate = docs.select("doc_id", "source", "lang", F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("tokens"))
+    first = token_rollup.changes(estimate, version, "insert")
+    rollup.apply("1-arrival", first)
+    rollup.apply("2-exact", token_rollup.changes(token_rollup.count_tokens(docs), version, "revise"))
+    rollup.apply("3-takedown", token_rollup.changes(labels.where("toxic = 1").select("doc_id"), version, "delete"))
+    rollup.apply("1-arrival", first)
+    return rollup.totals()
