@@ -29,6 +29,13 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}|{WS}$", "")
 
 
+def _decimal_text(c: Column) -> Column:
+    """A decimal as a decimal: rounded to 6 places, trailing zeros dropped."""
+    text = F.round(c, 6).cast("string")
+    plain = F.when(text.contains("E"), F.round(c, 6).cast("decimal(38,6)").cast("string")).otherwise(text)
+    return F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")).otherwise(plain)
+
+
 def _number_text(c: Column) -> Column:
     x = c.cast("double")
     dec = F.when(F.abs(x) < F.lit(1e15), F.round(x, 6)).cast("decimal(38,6)").cast("string")
@@ -44,6 +51,8 @@ def normalise(c: Column, dtype: T.DataType) -> Column:
         return F.when(c, "True").when(~c, "False")
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("string")
+    if isinstance(dtype, T.DecimalType):
+        return _decimal_text(c)
     if isinstance(dtype, _NUMERIC):
         return _number_text(c)
     return strip_ws(c.cast("string"))
@@ -56,10 +65,10 @@ def normalise_rows(df: DataFrame, name: str = "row") -> DataFrame:
     return df.select(F.array(*cells).alias(name))
 
 
-def raw_rows(df: DataFrame, name: str = "row") -> DataFrame:
-    """Rows as text without normalisation (the vote fingerprint's reference form,
-    in which 4 and 4.0 are different answers)."""
-    return df.select(F.array(*[F.col(f"`{f.name}`").cast("string") for f in df.schema.fields]).alias(name))
+def row_key(row: Column) -> Column:
+    """An injective text of a row: every cell carries its length, NULL its own mark."""
+    return F.array_join(F.transform(row, lambda x: F.when(x.isNull(), F.lit("-")).otherwise(
+        F.concat(F.length(x).cast("string"), F.lit(":"), x))), "")
 
 
 def row_text(row: Column) -> Column:

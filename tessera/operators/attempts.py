@@ -17,12 +17,14 @@ from ..functions.text import one_line
 from ..plans.ordered import ordered_scan, previous_value
 
 
-def first_last(att: DataFrame) -> DataFrame:
-    return att.groupBy("arm", "question_id").agg(
-        F.min_by("sql", "attempt_no").alias("draft_sql"),
-        F.max_by("sql", "attempt_no").alias("final_sql"),
-        F.min_by("ok", "attempt_no").alias("draft_ok"),
-        F.max_by("ok", "attempt_no").alias("final_ok"),
+def first_last(tries: DataFrame) -> DataFrame:
+    """First and last try of each question by (ts, event_id): partial aggregates."""
+    order = F.struct("ts", "event_id")
+    return tries.groupBy("arm", "question_id").agg(
+        F.min_by("sql", order).alias("draft_sql"),
+        F.max_by("sql", order).alias("final_sql"),
+        F.min_by("ok", order).alias("draft_ok"),
+        F.max_by("ok", order).alias("final_ok"),
         (F.count(F.lit(1)) > 1).alias("repaired"))
 
 

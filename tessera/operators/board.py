@@ -82,9 +82,10 @@ def contested(runs: DataFrame) -> DataFrame:
     return per_q.select("question_id", status.alias("status"), "winners")
 
 
-def top_reasons(runs: DataFrame, k: int = 5, width: int = 70) -> DataFrame:
+def top_reasons(runs: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` most frequent whole crash reasons."""
     crashes = runs.where(F.col("reason").startswith("crashed"))
-    return (crashes.groupBy(F.substring("reason", 1, width).alias("reason"))
+    return (crashes.groupBy("reason")
             .agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "reason").limit(k))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import bounded
+from ..plans.ordered import ordered_scan
 
 
 def request_key(model, system, user, temperature, schema) -> F.Column:
@@ -52,11 +53,12 @@ def usage(calls: DataFrame) -> DataFrame:
     return per.join(by_model, "run_id")
 
 
-def spans_flat(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def spans_flat(spans: DataFrame) -> DataFrame:
     """Tree of spans (run_id, seq, parent_seq) → rows with depth and a path
-    whose text order is depth-first order. Level by level: each round joins
-    the children of the current frontier (one equi-join per tree level); the
-    loop ends when a level is empty, and lineage is cut every 8 levels."""
+    whose text order is depth-first order. Level by level, to any depth: each
+    round joins the children of the current frontier (one equi-join per tree
+    level); the loop ends when a level is empty, and each level is checkpointed,
+    so neither lineage nor the plan grows with the depth."""
     # Materialise the node table once (reliable checkpoint in spark.checkpoint.dir),
     # so each level's emptiness test does not replay the span derivation.
     nodes = spans.select("run_id", "seq", "parent_seq").checkpoint()
@@ -64,14 +66,18 @@ def spans_flat(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     roots = nodes.join(nodes.select("run_id", F.col("seq").alias("parent_seq")), ["run_id", "parent_seq"], "left_anti")
     level = roots.select("run_id", "seq", F.lit(0).alias("depth"), pad(F.col("seq")).alias("path"))
     out = level
-    for d in range(1, max_depth):
+    d = 0
+    while True:
+        d += 1
         nxt = (nodes.join(level.select("run_id", F.col("seq").alias("parent_seq"), F.col("path").alias("_pp")),
                           ["run_id", "parent_seq"])
                .select("run_id", "seq", F.lit(d).alias("depth"), F.concat("_pp", F.lit("/"), pad(F.col("seq"))).alias("path")))
-        nxt = nxt.checkpoint() if d % 8 == 0 else nxt
+        nxt = nxt.checkpoint()
         if nxt.isEmpty():
             break
         out = out.unionByName(nxt)
+        if d % 16 == 0:
+            out = out.checkpoint()
         level = nxt
     return out
 
@@ -86,10 +92,23 @@ def agents_used(spans: DataFrame) -> DataFrame:
 
 
 def span_stats(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("agent").agg(
+    """Spans, total and failures per agent, with exact interpolated percentiles.
+    Ranks come from the skew-safe ordered scan over the elapsed times that are
+    known, so no aggregate holds an agent's values; only the (at most two) rows
+    around each percentile's position are joined back."""
+    agg = spans.groupBy("agent").agg(
         F.count(F.lit(1)).alias("spans"), F.round(F.sum("elapsed"), 4).alias("total"),
-        F.round(F.percentile("elapsed", 0.5), 4).alias("p50"), F.round(F.percentile("elapsed", 0.95), 4).alias("p95"),
-        F.count_if(F.col("status") == "failed").alias("failures"))
+        F.count("elapsed").alias("_n"), F.count_if(F.col("status") == "failed").alias("failures"))
+    ranked = ordered_scan(spans.where(F.col("elapsed").isNotNull()).select("agent", "elapsed", "span_id"), ["agent"], ["elapsed", "span_id"], seq="_rank")
+    near = ranked.alias("r").join(agg.select(F.col("agent").alias("_a"), "_n").alias("n"), F.col("r.agent").eqNullSafe(F.col("n._a")))
+    picked = {}
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        at = (F.col("_n") - 1) * F.lit(q)
+        share = F.lit(1.0) - F.abs(F.col("_rank") - 1 - at)
+        picked[name] = F.round(F.sum(F.when(share > 0, F.col("elapsed") * share)), 4).alias(name)
+    mid = near.groupBy("_a").agg(*picked.values())
+    return agg.alias("g").join(mid.alias("m"), F.col("g.agent").eqNullSafe(F.col("m._a")), "left").select(
+        "agent", "spans", "total", "p50", "p95", "failures")
 
 
 def pending(questions: DataFrame, arms: DataFrame, runs: DataFrame) -> DataFrame:

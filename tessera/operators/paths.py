@@ -2,10 +2,10 @@
 
 Breadth-first frontier loop: each round joins the frontier to the edges,
 removes visited nodes with ``left_anti`` and keeps one row per new node (its
-lexically smallest predecessor, ``min``). Lineage is cut every round with a
-reliable ``checkpoint`` (into ``spark.checkpoint.dir``), so a lost executor
-replays at most one round; the loop ends when the frontier is empty or at
-``max_hops``.
+lexically smallest predecessor, ``min``: a partial aggregate, so a hub's
+neighbours are combined before the shuffle). Lineage is cut every round with a
+reliable ``checkpoint`` (into ``spark.checkpoint.dir``) of the new nodes alone, so
+a lost executor replays at most one round; the loop ends when the frontier is empty.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """sources(node) → (source, node, hops, via) for every node reachable within
-    ``max_hops``; the source itself is not reported (same node → no row)."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources(node) → (source, node, hops, via) for every reachable node; the source
+    itself is not reported (same node → no row)."""
     e = undirected(edges).checkpoint()
     visited = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"))
     frontier = visited
-    found = []
-    for h in range(1, max_hops + 1):
+    found, h = [], 0
+    while True:
+        h += 1
         nxt = (frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), F.col("src").alias("via"))
                .join(visited.select("source", "node"), ["source", "node"], "left_anti")
                .groupBy("source", "node").agg(F.min("via").alias("via"))
@@ -35,7 +36,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataF
         if nxt.isEmpty():
             break
         found.append(nxt)
-        visited = visited.unionByName(nxt.select("source", "node", "hops", "via")).checkpoint()
+        visited = visited.unionByName(nxt.select("source", "node", "hops", "via"))
+        if h % 16 == 0:
+            visited = visited.checkpoint()  # one plan node per round otherwise
         frontier = nxt
     if not found:
         return visited.limit(0).select("source", "node", "hops", "via")
@@ -48,3 +51,32 @@ def join_along(tables: dict[str, DataFrame], path: list[tuple[str, str, str, str
     for _, lcol, rtab, rcol in path:
         out = out.join(tables[rtab], F.col(lcol) == F.col(rcol))
     return out
+
+
+def route(paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """``paths`` of :func:`shortest_paths` and targets(source, node) → the steps of each
+    path: (source, target, step, src, dst), step 1 leaving the source. Walks back from
+    the target, one equi-join per hop; a target that is not reachable has no steps."""
+    at = targets.select("source", F.col("node").alias("target"), F.col("node").alias("dst"))
+    steps = None
+    while True:
+        hop = (at.join(paths.select("source", F.col("node").alias("dst"), F.col("hops").alias("step"), F.col("via").alias("src")), ["source", "dst"])
+               .select("source", "target", "step", "src", "dst").checkpoint())
+        steps = hop if steps is None else steps.unionByName(hop)
+        at = hop.where(F.col("step") > 1).select("source", "target", F.col("src").alias("dst"))
+        if at.isEmpty():
+            return steps
+
+
+def join_path(references: DataFrame, source: str, target: str) -> list[tuple[str, str, str, str]]:
+    """Join conditions ``(left_table, left_col, right_table, right_col)`` along the
+    shortest path between two tables of ``references(table, column, ref_table,
+    ref_column)``; empty if there is none. Of several references between two tables,
+    the lexically smallest counts. The result is as long as the path."""
+    spark = references.sparkSession
+    both = references.select(F.col("table").alias("src"), F.col("column").alias("src_col"), F.col("ref_table").alias("dst"), F.col("ref_column").alias("dst_col")).unionByName(
+        references.select(F.col("ref_table").alias("src"), F.col("ref_column").alias("src_col"), F.col("table").alias("dst"), F.col("column").alias("dst_col")))
+    paths = shortest_paths(both.select("src", "dst"), spark.createDataFrame([(source,)], "node string"))
+    steps = route(paths, spark.createDataFrame([(source, target)], "source string, node string"))
+    on = both.groupBy("src", "dst").agg(F.min(F.struct("src_col", "dst_col")).alias("on"))
+    return [(r.src, r.on.src_col, r.dst, r.on.dst_col) for r in steps.join(on, ["src", "dst"]).orderBy("step").collect()]

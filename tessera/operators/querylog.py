@@ -7,7 +7,7 @@ This is an audit, not an enforcement point.
 
 Known lexical limits: ``count(*)``, ``SELECT *`` and ``t.*`` are not
 multiplications; GROUP BY, HAVING and the self-join test look only at the
-outermost query (text inside parentheses is removed first, three levels deep);
+outermost query (text inside parentheses, at any depth, is left out);
 a self-join is the same table twice in that outermost FROM/JOIN list.
 """
 
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 # Lexical patterns (Java regex and RE2 agree on all of them).
 LITERAL_OR_COMMENT = r"'(?:[^']|'')*'|--[^\n]*|/\*[\s\S]*?\*/"
-PAREN_GROUP = r"\([^()]*\)"
+QUOTED_NAME = r'"(?:[^"]|"")*"'
+
+PIECE = r"[()]|[^()]+"
 P_JOIN = r"\bJOIN\b"
 P_OUTER = r"\b(?:LEFT|RIGHT|FULL)\s+(?:OUTER\s+)?JOIN\b"
 P_SUBQUERY = r"\(\s*SELECT\b"
@@ -51,10 +53,19 @@ def cleaned(sql: Column) -> Column:
     return F.upper(F.regexp_replace(sql, LITERAL_OR_COMMENT, " "))
 
 
-def outermost(text: Column, depth: int = 3) -> Column:
-    for _ in range(depth):
-        text = F.regexp_replace(text, PAREN_GROUP, " ")
-    return text
+def outermost(text: Column) -> Column:
+    """The text outside all parentheses, at any depth: its pieces (brackets, and runs
+    between them) are folded with a depth counter; each group leaves one blank. A
+    closing bracket without an opening one is dropped."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(a, x):
+        depth = F.when(x == "(", a["depth"] + 1).when(x == ")", F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        kept = F.when((x == "(") & (a["depth"] == 0), F.lit(" ")).when(x.isin("(", ")") | (a["depth"] > 0), F.lit("")).otherwise(x)
+        return F.struct(depth.alias("depth"), F.concat(a["out"], kept).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda a: a["out"])
 
 
 def features(log: DataFrame, known_tables: list[str] | None = None) -> DataFrame:
@@ -123,7 +134,7 @@ def risk_tier(log: DataFrame, known_tables: list[str] | None = None) -> DataFram
 def screen(log: DataFrame) -> DataFrame:
     """First failing rule wins: empty, several statements, not a read, forbidden
     verb, forbidden function; otherwise ok."""
-    u = cleaned(F.col("sql"))
+    u = F.regexp_replace(cleaned(F.col("sql")), QUOTED_NAME, " NAME ")  # a quoted name is no verb
     reason = (F.when(F.col("sql").isNull() | (F.trim(u) == ""), "empty")
               .when(u.rlike(P_MORE_STATEMENTS), "several statements")
               .when(~u.rlike(P_READ), "not a read")

@@ -45,9 +45,9 @@ def stratified_sample(df: DataFrame, stratum_col: str, key_col: str, n: int, see
     salt = F.pmod(F.xxhash64("key"), F.lit(SALT_BUCKETS))
     w1 = Window.partitionBy("stratum", "_salt").orderBy("_h", "key")
     pre = (ranked.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
-           .where(F.col("_r") <= F.col("seats")))
+           .where((F.col("_r") <= n) & (F.col("_r") <= F.col("seats"))))
     w2 = Window.partitionBy("stratum").orderBy("_h", "key")
-    return pre.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= F.col("seats")).select("key", "stratum")
+    return pre.withColumn("_r2", F.row_number().over(w2)).where((F.col("_r2") <= n) & (F.col("_r2") <= F.col("seats"))).select("key", "stratum")
 
 
 def inclusion_audit(df: DataFrame, stratum_col: str, key_col: str, n: int, seeds: list[int], edge: int) -> DataFrame:
@@ -63,9 +63,9 @@ def inclusion_audit(df: DataFrame, stratum_col: str, key_col: str, n: int, seeds
     x = x.withColumn("_h", F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("key").cast("string"))))
     w1 = Window.partitionBy("seed", "stratum", "_salt").orderBy("_h", "key")
     pre = (x.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALT_BUCKETS))).withColumn("_r", F.row_number().over(w1))
-           .where(F.col("_r") <= F.col("seats")))
+           .where((F.col("_r") <= n) & (F.col("_r") <= F.col("seats"))))
     w2 = Window.partitionBy("seed", "stratum").orderBy("_h", "key")
-    draws = pre.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= F.col("seats")).select("key")
+    draws = pre.withColumn("_r2", F.row_number().over(w2)).where((F.col("_r2") <= n) & (F.col("_r2") <= F.col("seats"))).select("key")
     low = base.select("key").orderBy("key").limit(edge).withColumn("_side", F.lit("low"))
     high = base.select("key").orderBy(F.desc("key")).limit(edge).withColumn("_side", F.lit("high"))
     hits = draws.join(F.broadcast(low.unionByName(high)), "key")

@@ -61,30 +61,36 @@ def error_of(ok: Column, k: Column) -> Column:
         F.concat(F.lit("no such column: c"), (k % 5).cast("string")))
 
 
-def attempts(events: DataFrame) -> DataFrame:
-    """One row per try: arm = event type, question = user; numbered by (ts, event_id)."""
+def tries(events: DataFrame) -> DataFrame:
+    """One row per try, unnumbered: arm = event type, question = user; a question's
+    tries are ordered by (ts, event_id)."""
     e = events.select(
         F.col("event_type").alias("arm"), F.col("user_id").alias("question_id"),
         "event_id", "ts", (F.col("value") >= 30).alias("ok"), F.col("value").alias("seconds"),
         k_of(F.col("props")).alias("k"))
-    e = (e.withColumn("difficulty", difficulty_of(F.col("question_id")))
+    return (e.withColumn("difficulty", difficulty_of(F.col("question_id")))
          .withColumn("db_id", db_of(F.col("question_id")))
          .withColumn("sql", F.concat(F.col("arm"), F.lit(":"), (F.col("k") % 4).cast("string")))
-         .withColumn("error", error_of(F.col("ok"), F.col("k"))))
-    return ordered_scan(e, ["arm", "question_id"], ["ts", "event_id"], seq="attempt_no")
+            .withColumn("error", error_of(F.col("ok"), F.col("k"))))
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Tries numbered 1, 2, … within their (arm, question)."""
+    return ordered_scan(tries(events), ["arm", "question_id"], ["ts", "event_id"], seq="attempt_no")
 
 
 def runs_from_attempts(att: DataFrame) -> DataFrame:
-    """One row per (arm, question): draft = first attempt, final = last.
+    """One row per (arm, question): draft = first try, final = last. Works on tries
+    as on numbered attempts: only their order is used.
 
     ``min_by``/``max_by`` are partial aggregates: no sort, no window, and a hot
     question is combined map-side before the shuffle."""
     r = att.groupBy("arm", "question_id", "difficulty", "db_id").agg(
-        F.min_by("ok", "attempt_no").alias("draft_correct"),
-        F.max_by("ok", "attempt_no").alias("correct"),
-        F.min_by("sql", "attempt_no").alias("draft_sql"),
-        F.max_by("sql", "attempt_no").alias("sql"),
-        F.max_by("k", "attempt_no").alias("last_k"),
+        F.min_by("ok", F.struct("ts", "event_id")).alias("draft_correct"),
+        F.max_by("ok", F.struct("ts", "event_id")).alias("correct"),
+        F.min_by("sql", F.struct("ts", "event_id")).alias("draft_sql"),
+        F.max_by("sql", F.struct("ts", "event_id")).alias("sql"),
+        F.max_by("k", F.struct("ts", "event_id")).alias("last_k"),
         F.count(F.lit(1)).alias("calls"),
         F.sum("seconds").alias("seconds"),
         F.max("ts").alias("finished_at"),
@@ -109,7 +115,7 @@ def agent_of(k: Column) -> Column:
 
 
 def runs(events: DataFrame) -> DataFrame:
-    return runs_from_attempts(attempts(events))
+    return runs_from_attempts(tries(events))
 
 
 def questions(events: DataFrame, documents: DataFrame) -> DataFrame:
@@ -136,9 +142,8 @@ def chains(att: DataFrame, max_attempts: int = 3) -> DataFrame:
     return att.where(F.col("attempt_no") <= max_attempts)
 
 
-def spans(events: DataFrame) -> DataFrame:
-    """Flat span log: run = (user, 6-day bucket); seq by (ts, event_id);
-    parent = seq // 2 (a deterministic tree, seq 1 is the root)."""
+def span_log(events: DataFrame) -> DataFrame:
+    """Flat span log, unnumbered: run = (user, 6-day bucket)."""
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / RUN_BUCKET_SECONDS)
     s = events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), bucket.cast("string")).alias("run_id"),
@@ -146,8 +151,13 @@ def spans(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("agent"), F.col("value").alias("elapsed"),
         F.when(F.col("value") >= 30, "ok").otherwise("failed").alias("status"),
         k_of(F.col("props")).alias("k"))
-    s = s.withColumn("signature", F.concat(F.col("agent"), F.lit("|"), (F.col("k") % 3).cast("string")))
-    s = ordered_scan(s, ["run_id"], ["ts", "span_id"], seq="seq")
+    return s.withColumn("signature", F.concat(F.col("agent"), F.lit("|"), (F.col("k") % 3).cast("string")))
+
+
+def spans(events: DataFrame) -> DataFrame:
+    """Spans numbered by (ts, event_id) within their run; parent = seq // 2 (a
+    deterministic tree, seq 1 is the root)."""
+    s = ordered_scan(span_log(events), ["run_id"], ["ts", "span_id"], seq="seq")
     return s.withColumn("parent_seq", (F.col("seq") / 2).cast("int"))
 
 
@@ -163,13 +173,13 @@ def calls_log(events: DataFrame) -> DataFrame:
         F.when(k % 5 == 0, F.lit(0.7)).otherwise(F.lit(0.0)).alias("temperature"))
 
 
-def rounds(lineitem: DataFrame, max_rounds: int = 3) -> DataFrame:
+def rounds(lineitem: DataFrame) -> DataFrame:
     """Evaluate-optimise rounds from line items: question = order, round = line
     number (latest line per (order, line number)); criteria scored 0-3."""
     latest = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.max_by(F.struct("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_partkey"),
                  F.struct("l_shipdate", "l_partkey", "l_suppkey")).alias("x"))
-    return latest.where(F.col("l_linenumber") <= max_rounds).select(
+    return latest.select(
         F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("round"),
         (F.col("x.l_quantity").cast("int") % 4).alias("c1"),
         (F.col("l_linenumber") % 4).alias("c2"),
@@ -225,7 +235,6 @@ QUERY_TEMPLATES = [
 
 def query_log(spark, part: DataFrame) -> DataFrame:
     """REL-style templates × values from ``part``: one SQL text per part."""
-    from .joins import one_row  # noqa: F401 - small fixed table below
     tpl = spark.createDataFrame(list(enumerate(QUERY_TEMPLATES)), "tpl_id int, tpl string")
     p = part.select("p_partkey", "p_brand", "p_type", "p_size", "p_name",
                     (F.col("p_partkey") % len(QUERY_TEMPLATES)).cast("int").alias("tpl_id"))

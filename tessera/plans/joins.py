@@ -7,7 +7,8 @@ the side is provably small:
 
 * ``one_row`` — a global aggregate: exactly one row by construction;
 * ``bounded`` — a side whose row count is checked with a *bounded* action
-  (``limit(max_rows + 1).count()`` never reads more than ``max_rows + 1`` rows)
+  (``limit(max_rows + 1).count()`` never reads more than ``max_rows + 1`` rows;
+  it runs each time, since the data behind the same plan may have grown)
   and broadcast only if it fits; otherwise the frame is returned unhinted and
   the join stays a shuffle join.
 """
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 100_000
-_checked: dict[tuple[int, int], bool] = {}
 
 
 def one_row(df: DataFrame) -> DataFrame:
@@ -28,9 +28,4 @@ def one_row(df: DataFrame) -> DataFrame:
 
 def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it holds at most ``max_rows`` rows."""
-    key = (df.semanticHash(), max_rows)
-    fits = _checked.get(key)
-    if fits is None:
-        fits = df.limit(max_rows + 1).count() <= max_rows
-        _checked[key] = fits
-    return F.broadcast(df) if fits else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

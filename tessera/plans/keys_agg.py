@@ -92,8 +92,7 @@ def agg_contested(spark, d):
 
 @reg("agg_top_reasons", with_(RUNS) + """
 SELECT reason, n FROM (
-  SELECT substring(reason, 1, 70) AS reason, count(*) AS n FROM runs
-  WHERE starts_with(reason, 'crashed') GROUP BY substring(reason, 1, 70)) s
+  SELECT reason, count(*) AS n FROM runs WHERE starts_with(reason, 'crashed') GROUP BY reason) s
 ORDER BY n DESC, reason LIMIT 5""")
 def agg_top_reasons(spark, d):
     return B.top_reasons(_runs(spark, d))
@@ -189,11 +188,10 @@ def agg_failures(spark, d):
     return B.failures(_runs(spark, d), _questions(spark, d))
 
 
-PROGRESS_CUTOFF = "2024-01-03"
 REQUESTED_ARMS = ["view", "click", "error", "purchase", "signup", "react"]
 
 
-@reg("agg_progress", with_(RUNS.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{PROGRESS_CUTOFF}')", 1), QUESTIONS) + """,
+@reg("agg_progress", with_(RUNS, QUESTIONS) + """,
 arms AS (SELECT * FROM (VALUES ('view'), ('click'), ('error'), ('purchase'), ('signup'), ('react')) v(arm)),
 done AS (SELECT arm, count(*) AS done FROM runs GROUP BY arm)
 SELECT a.arm, coalesce(d.done, 0) AS done, (SELECT count(*) FROM questions) AS total,
@@ -201,9 +199,8 @@ SELECT a.arm, coalesce(d.done, 0) AS done, (SELECT count(*) FROM questions) AS t
 FROM arms a LEFT JOIN done d ON a.arm = d.arm""".replace(")\n,\narms", "),\narms"))
 def agg_progress(spark, d):
     t = tables(spark, d)
-    early = t.events.where(F.col("ts") < F.lit(PROGRESS_CUTOFF).cast("timestamp_ntz"))
     arms = spark.createDataFrame([(a,) for a in REQUESTED_ARMS], "arm string")
-    return B.progress(D.runs(early), D.questions(t.events, t.documents), arms)
+    return B.progress(D.runs(t.events), D.questions(t.events, t.documents), arms)
 
 
 @reg("agg_describe", with_(QUESTIONS) + """
@@ -225,7 +222,7 @@ SELECT arm, question_id, min_by(sql, attempt_no) AS draft_sql, max_by(sql, attem
        min_by(ok, attempt_no) AS draft_ok, max_by(ok, attempt_no) AS final_ok, count(*) > 1 AS repaired
 FROM attempts GROUP BY arm, question_id""")
 def win_first_last(spark, d):
-    return W.first_last(_attempts(spark, d))
+    return W.first_last(D.tries(tables(spark, d).events))
 
 
 ACTIONS_SQL = f"""l AS (
@@ -293,7 +290,7 @@ def win_best_round(spark, d):
 SELECT arm, question_id, event_id, seconds FROM attempts
 QUALIFY row_number() OVER (PARTITION BY arm, question_id ORDER BY ts DESC, event_id DESC) = 1""")
 def win_latest_per_key(spark, d):
-    return W.latest_per_key(_attempts(spark, d), ["arm", "question_id"], ["ts", "event_id"], ["event_id", "seconds"])
+    return W.latest_per_key(D.tries(tables(spark, d).events), ["arm", "question_id"], ["ts", "event_id"], ["event_id", "seconds"])
 
 
 @reg("win_running_accuracy", with_(RUNS) + """

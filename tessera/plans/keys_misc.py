@@ -12,7 +12,7 @@ from ..operators import voting as V
 from ..sources.tables import tables
 from . import derived as D
 from .derived_sql import ATTEMPTS, CALLS, QUERY_LOG, QUESTIONS, REPLIES, ROUNDS, RUNS, SPANS, VOTES, WS, fold, with_
-from .keys_agg import ACTIONS_SQL, PROGRESS_CUTOFF, REQUESTED_ARMS
+from .keys_agg import ACTIONS_SQL, REQUESTED_ARMS
 from .registry import register
 
 
@@ -70,7 +70,7 @@ SAMPLES_SQL = """samples AS (SELECT question_id, event_id AS sample_no, concat(a
 
 
 def _samples(spark, d):
-    a = D.attempts(tables(spark, d).events)
+    a = D.tries(tables(spark, d).events)
     return a.select("question_id", F.col("event_id").alias("sample_no"),
                     F.concat(F.col("arm"), F.lit(":"), (F.col("k") % 4).cast("string")).alias("sql"), "ok",
                     F.concat(F.lit("fp"), (F.col("k") % 3).cast("string")).alias("fingerprint"))
@@ -134,9 +134,9 @@ SELECT arm, question_id, attempt_no,
        WHEN ok AND mode IN ('critique', 'both') AND k % 3 = 1 THEN concat('Reviewer: result looks incomplete (', CAST(k AS VARCHAR), ')')
   END AS feedback
 FROM (SELECT *, CASE arm WHEN 'error' THEN 'none' WHEN 'click' THEN 'execution' WHEN 'purchase' THEN 'critique'
-                         WHEN 'signup' THEN 'both' ELSE 'direct' END AS mode FROM attempts WHERE attempt_no <= 3) a""")
+                         WHEN 'signup' THEN 'both' ELSE 'direct' END AS mode FROM attempts) a""")
 def vot_feedback_fork(spark, d):
-    a = D.attempts(tables(spark, d).events).where(F.col("attempt_no") <= 3)
+    a = D.attempts(tables(spark, d).events)
     a = a.select("arm", "question_id", "attempt_no", "ok", "error", D.mode_of(F.col("arm")).alias("mode"),
                  (F.col("k") % 3 != 1).alias("review_clean"),
                  F.concat(F.lit("Reviewer: result looks incomplete ("), F.col("k").cast("string"), F.lit(")")).alias("review_text"))
@@ -249,7 +249,7 @@ def txt_clean_replies(spark, d):
 
 
 # ---------------------------------------------------------------- OPS
-CACHE_CUTOFF = "2024-01-10"
+CACHE_CUTOFF = "2024-01-10"  # ops_cache_split: what came before is the cache, the rest is asked of it
 
 
 def _requests(spark, d):
@@ -294,9 +294,10 @@ def ops_cache_split(spark, d):
 
 @register("ops_cache_stats", with_(CALLS, REQ_SQL) + """
 SELECT coalesce(shard, '*') AS shard, count(*) AS entries, CAST(sum(strlen(response)) AS BIGINT) AS bytes
-FROM (SELECT substr(key, 1, 2) AS shard, response FROM cache) c GROUP BY ROLLUP (shard)""")
+FROM (SELECT substr(key, 1, 2) AS shard, max(response) AS response FROM requests WHERE temperature = 0 GROUP BY key) c GROUP BY ROLLUP (shard)""")
 def ops_cache_stats(spark, d):
-    return O.cache_stats(_cache(_requests(spark, d)))
+    every = _requests(spark, d).where(F.col("temperature") == 0)
+    return O.cache_stats(every.groupBy("key").agg(F.max("response").alias("response")))
 
 
 @register("ops_usage", with_(CALLS) + """,
@@ -339,18 +340,17 @@ SELECT agent, count(*) AS spans, round(sum(elapsed), 4) AS total, round(quantile
        round(quantile_cont(elapsed, 0.95), 4) AS p95, count(*) FILTER (WHERE status = 'failed') AS failures
 FROM spans GROUP BY agent""")
 def ops_span_stats(spark, d):
-    return O.span_stats(_spans(spark, d))
+    return O.span_stats(D.span_log(tables(spark, d).events))
 
 
-@register("ops_pending", with_(RUNS.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{PROGRESS_CUTOFF}')", 1), QUESTIONS) + f""",
+@register("ops_pending", with_(RUNS, QUESTIONS) + f""",
 arms(arm) AS (VALUES {', '.join('(' + lit(a) + ')' for a in REQUESTED_ARMS)})
 SELECT a.arm, q.question_id FROM questions q, arms a
 WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.arm = a.arm AND r.question_id = q.question_id)""".replace(")\n,\narms", "),\narms"))
 def ops_pending(spark, d):
     t = tables(spark, d)
-    early = t.events.where(F.col("ts") < F.lit(PROGRESS_CUTOFF).cast("timestamp_ntz"))
     arms = spark.createDataFrame([(a,) for a in REQUESTED_ARMS], "arm string")
-    return O.pending(D.questions(t.events, t.documents), arms, D.runs(early))
+    return O.pending(D.questions(t.events, t.documents), arms, D.runs(t.events))
 
 
 @register("ops_arm_isolation", with_(RUNS, ACTIONS_SQL) + f""",

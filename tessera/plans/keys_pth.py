@@ -6,7 +6,7 @@ from ..operators import paths as PT
 from ..sources.tables import load_tables
 from .registry import register
 
-SOURCE, HOPS = "c0", 4
+SOURCE = "c0"
 
 
 def copurchase_edges(t):
@@ -23,38 +23,37 @@ EDGES_SQL = """e0 AS (SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR)) AS
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
        UNION SELECT DISTINCT concat('p', CAST(l_partkey AS VARCHAR)), concat('s', CAST(l_suppkey AS VARCHAR)) FROM lineitem),
 e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0),
-h0 AS (SELECT 'c0' AS node)"""
-
-
-def _levels(n):
-    parts, seen = [], ["h0"]
-    for h in range(1, n + 1):
-        prev = f"h{h - 1}"
-        parts.append(f"""h{h} AS (SELECT e.dst AS node, min(e.src) AS via FROM {prev} JOIN e ON e.src = {prev}.node
-      WHERE e.dst NOT IN ({' UNION '.join(f'SELECT node FROM {s}' for s in seen)}) GROUP BY e.dst)""")
-        seen.append(f"h{h}")
-    sel = " UNION ALL ".join(f"SELECT 'c0' AS source, node, {h} AS hops, via FROM h{h}" for h in range(1, n + 1))
-    return ",\n".join(parts), sel
-
-
-_L, _S = _levels(HOPS)
-
-
-@register("pth_shortest", f"WITH {EDGES_SQL},\n{_L}\n{_S}")
+lv(node, hops) AS (
+  SELECT 'c0', 0
+  UNION
+  SELECT e.dst, lv.hops + 1 FROM lv JOIN e ON e.src = lv.node WHERE lv.hops < 24),
+h AS (SELECT node, min(hops) AS hops FROM lv GROUP BY node)"""
+
+
+# The recursion's bound is far above the graph's diameter; the Spark side has none.
+@register("pth_shortest", f"""WITH RECURSIVE {EDGES_SQL}
+SELECT 'c0' AS source, h.node AS node, h.hops AS hops, min(p.node) AS via
+FROM h JOIN e ON e.dst = h.node JOIN h p ON p.node = e.src AND p.hops = h.hops - 1
+WHERE h.hops > 0 GROUP BY h.node, h.hops""")
 def pth_shortest(spark, d):
     t = load_tables(spark, d, register=False)
     src = spark.createDataFrame([(SOURCE,)], "node string")
-    return PT.shortest_paths(copurchase_edges(t), src, HOPS)
+    return PT.shortest_paths(copurchase_edges(t), src)
 
 
-PATH = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"),
-        ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+# Declared references of the test schema.
+REFERENCES = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+              ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+              ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+              ("nation", "n_regionkey", "region", "r_regionkey")]
 
 
 @register("pth_join_along", """
-SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_nationkey, n_name, r_name FROM lineitem
-JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+SELECT o_orderkey, o_custkey, c_nationkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def pth_join_along(spark, d):
+    """Orders joined to region along the shortest reference path that is found."""
     t = load_tables(spark, d, register=False)
-    return PT.join_along(t, PATH).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "c_nationkey", "n_name", "r_name")
+    refs = spark.createDataFrame(REFERENCES, "table string, column string, ref_table string, ref_column string")
+    path = PT.join_path(refs, "orders", "region")
+    return PT.join_along(t, path).select("o_orderkey", "o_custkey", "c_nationkey", "n_name", "r_name")

@@ -2,80 +2,66 @@
 
 ``row_number()`` / running ``sum()`` over ``Window.partitionBy(g)`` sends every
 row of a group to one task. When one group may hold a third of all rows, that
-task is the whole job. The helpers here compute the same values in balanced
-steps, using only deterministic expressions (so every plan branch, and every
-task retry after a lost executor, assigns rows to the same slice):
-
-1. exact per-group ``count``/``min``/``max`` of the leading order key (a partial
-   aggregate); a group with more than ``slice_rows`` rows is cut into
-   ``S = ceil(count / slice_rows)`` slices of equal key *range*, so slice ids
-   grow with the order key;
-2. a window over ``(g…, slice)`` numbers rows / sums values inside each slice;
-3. per-slice totals (one row per slice) become offsets through a window over
-   ``g`` ordered by slice — at most ``S`` rows per group — joined back on
-   ``(g…, slice)``.
-
-Slices split on key range, so a group whose rows share one key value stays in
-one slice (still exact, just not split). Step 1's join back is on the group
-key; AQE's skew-join handling splits a hot group there, since the other side
-has one row per group.
-The caller must give a total order (add a unique tiebreak column).
+task is the whole job. The helpers here compute the same values for groups of any
+size, always by the same steps:
+
+1. rows are range-partitioned on (group, whole order key), so a hot group is cut
+   at its own quantiles; the partition number is the slice, and slice and rows are
+   frozen by a reliable checkpoint (``spark.checkpoint.dir``), so no retry or
+   second branch can see another cut;
+2. a window over ``(group, slice)`` numbers rows / sums values inside each slice;
+3. per-slice totals (at most one row per slice and group) become offsets through a
+   window over the group, joined back null-safe on (group, slice).
+
+NULL groups and NULL order keys behave as in the plain window: NULL is a group of
+its own and sorts first. Rows that tie on the whole order key stay in one slice, so
+the caller gives a total order (a unique tiebreak). Fractional sums are added as
+decimals, so a cut cannot change them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir, shuffle_partitions
+
 _S = "_slice"
-SLICE_ROWS_CONF = "tessera.ordered.sliceRows"
-DEFAULT_SLICE_ROWS = 2_000_000
+SLICES_CONF = "tessera.ordered.slices"
+SUM_TYPE = "decimal(38,6)"
 
 
 def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _numeric(df: DataFrame, c) -> Column:
-    """The leading order key as a number that preserves its order."""
-    if isinstance(c, str):
-        dtype = df.schema[c].dataType
-        col = F.col(c)
-        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            return F.unix_micros(col.cast("timestamp"))
-        if isinstance(dtype, T.DateType):
-            return F.unix_date(col).cast("long")
-        return col.cast("double")
-    return c.cast("double")
+def slices(spark) -> int:
+    """Slices per scan: the session's shuffle partitions unless set."""
+    return int(spark.conf.get(SLICES_CONF, str(shuffle_partitions(spark))))
 
 
-def slice_rows(spark) -> int:
-    return int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
+def same(left: str, right: str, cols: list[tuple[str, str]]) -> Column:
+    """Null-safe equality of aliased column pairs, usable as an equi-join."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{x}").eqNullSafe(F.col(f"{right}.{y}")) for x, y in cols])
 
 
 def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list, seq: str | None = "seq",
-                 sums: dict[str, Column] | None = None, rows_per_slice: int | None = None) -> DataFrame:
+                 sums: dict[str, Column] | None = None, n_slices: int | None = None) -> DataFrame:
     """Add ``seq`` (1-based row number) and running sums ``{name: expr}`` per group,
-    in the order of ``order_cols`` (the first must be numeric, date or timestamp)."""
-    sums = sums or {}
-    per = rows_per_slice or slice_rows(df.sparkSession)
-    staged = df.withColumn("_k0", _numeric(df, order_cols[0]))
-    for name, expr in sums.items():
-        staged = staged.withColumn(f"_v_{name}", expr)
-
-    shape = staged.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_k0").alias("_kmin"), F.max("_k0").alias("_kmax"))
-    n_slices = F.ceil(F.col("_n") / F.lit(per))
-    span = (F.col("_kmax") - F.col("_kmin")).cast("double") + F.lit(1.0)
-    slice_id = F.when(n_slices <= 1, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_k0") - F.col("_kmin")).cast("double") * n_slices / span), n_slices - 1)
-    ).cast("long")
-    joined = staged.join(shape, group_cols) if group_cols else staged.crossJoin(F.broadcast(shape))
-    sliced = (joined.withColumn(_S, slice_id)
-              .drop("_n", "_kmin", "_kmax", "_k0"))
-
+    in the order of ``order_cols``."""
+    sums, spark, columns = sums or {}, df.sparkSession, list(df.columns)
+    ensure_checkpoint_dir(spark)
     order = _cols(order_cols)
+    staged = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()}) if sums else df
+    fractional = {name: isinstance(staged.schema[f"_v_{name}"].dataType, (T.DoubleType, T.FloatType)) for name in sums}
+    for name in (n for n, yes in fractional.items() if yes):
+        staged = staged.withColumn(f"_v_{name}", F.col(f"_v_{name}").cast(SUM_TYPE))
+    sliced = (staged.repartitionByRange(n_slices or slices(spark), *_cols(group_cols), *order)
+              .withColumn(_S, F.spark_partition_id()).checkpoint())
+
     w_slice = Window.partitionBy(*group_cols, _S).orderBy(*order)
     w_run = w_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sliced
@@ -85,26 +71,30 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list, seq: st
         local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_run))
 
     aggs = [F.count(F.lit(1)).alias("_cnt")] + [F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
-    stats = sliced.groupBy(*group_cols, _S).agg(*aggs)
     w_prev = Window.partitionBy(*group_cols).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
-    offs = stats.select(
-        *group_cols, _S,
+    offs = sliced.groupBy(*group_cols, _S).agg(*aggs).select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], F.col(_S).alias("_os"),
         F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)).alias("_o_cnt"),
         *[F.sum(f"_t_{name}").over(w_prev).alias(f"_o_{name}") for name in sums])
 
-    out = local.join(offs, [*group_cols, _S])
+    pairs = [(g, f"_g{i}") for i, g in enumerate(group_cols)] + [(_S, "_os")]
+    out = local.alias("l").join(offs.alias("o"), same("l", "o", pairs))
+    added = {}
     if seq:
-        out = out.withColumn(seq, (F.col("_lrn") + F.col("_o_cnt")).cast("int"))
+        added[seq] = (F.col("_lrn") + F.col("_o_cnt")).cast("int")
     for name in sums:
-        out = out.withColumn(name, F.col(f"_l_{name}") + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
-    drop = [_S, "_lrn", "_o_cnt"] + [f"_{p}_{name}" for name in sums for p in ("v", "l", "o")]
-    return out.drop(*drop)
+        # A NULL local sum means no value so far in this slice: earlier slices count alone.
+        here, before = F.col(f"_l_{name}"), F.col(f"_o_{name}")
+        total = F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0)))
+        added[name] = total.cast("double") if fractional[name] else total
+    return out.select(*[F.col(f"l.`{c}`") for c in columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def previous_value(df: DataFrame, group_cols: list[str], seq_col: str, value_cols: list[str],
                    prefix: str = "prev_") -> DataFrame:
     """``lag(v, 1)`` as an equi-join on ``(group, seq - 1)``: no hot key, since the
     join key includes the sequence number."""
-    prev = df.select(*group_cols, (F.col(seq_col) + 1).alias(seq_col),
+    prev = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], (F.col(seq_col) + 1).alias("_next"),
                      *[F.col(v).alias(prefix + v) for v in value_cols])
-    return df.join(prev, [*group_cols, seq_col], "left")
+    pairs = [(g, f"_g{i}") for i, g in enumerate(group_cols)] + [(seq_col, "_next")]
+    return df.alias("l").join(prev.alias("p"), same("l", "p", pairs), "left").select("l.*", *[prefix + v for v in value_cols])

@@ -47,8 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint directory for lineage cuts.
 
     On a cluster the operator names a shared folder in ``spark.checkpoint.dir``;
-    we read it and never override it. Only when it is unset (local tests) do we
-    create a scratch folder of our own.
+    we read it and never override it. Only a single-machine session (tests) that
+    leaves it unset gets a scratch folder; anywhere else that is an error, since
+    executors would not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(path)
     return path

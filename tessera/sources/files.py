@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,29 +42,85 @@ def load_questions(spark: SparkSession, path: str, multiline: bool = False) -> D
                      F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"))
 
 
+def _at(spark: SparkSession, path: str):
+    """Hadoop file system and path of ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _at(spark, f"{path}/_pointers")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _pointed(spark: SparkSession, path: str, n: int) -> str:
+    fs, p = _at(spark, f"{path}/_pointers/{n:012d}")
+    stream = fs.open(p)
+    try:
+        return f"{path}/versions/{stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """Folder of the published version of a versioned table, None if there is none."""
+    known = _pointers(spark, path)
+    return _pointed(spark, path, known[-1]) if known else None
+
+
+def publish(df: DataFrame, path: str, fmt: str) -> str:
+    """Replace a versioned table: the rows go to a folder of their own, then one new
+    pointer file, created exclusively, switches readers over. A crash before that
+    leaves the published version as it was; of concurrent writers each gets a pointer
+    of its own and the last one counts. Versions older than the previous are removed."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.format(fmt).save(f"{path}/versions/{version}")
+    while True:
+        n = (_pointers(spark, path) or [0])[-1] + 1
+        fs, p = _at(spark, f"{path}/_pointers/{n:012d}")
+        try:
+            stream = fs.create(p, False)
+        except Exception:
+            if fs.exists(p):
+                continue  # another writer took this number
+            raise
+        stream.writeUTF(version)
+        stream.close()
+        break
+    for old in _pointers(spark, path)[:-2]:
+        folder = _pointed(spark, path, old)
+        for gone in (folder, f"{path}/_pointers/{old:012d}"):
+            fs, p = _at(spark, gone)
+            if not fs.delete(p, True) and fs.exists(p):
+                raise OSError(f"could not remove {gone}")
+    return f"{path}/versions/{version}"
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """Missing file → empty frame; corrupt lines dropped (PERMISSIVE); columns
-    added later default; duplicate (arm, question) → the last write wins."""
+    added later default; duplicate (arm, question) → the last write wins: the latest
+    ``written_at`` (rows without one come first), then the later file and line. A
+    versioned log is read at its published version."""
+    path = current(spark, path) or path
     if not _exists(spark, path):
         return spark.createDataFrame([], RUN_SCHEMA).drop("_corrupt_record")
     df = (spark.read.schema(RUN_SCHEMA).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    df = df.where(F.col("_corrupt_record").isNull() & F.col("arm").isNotNull()).drop("_corrupt_record")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("_place")
+    df = df.select("*", place).where(F.col("_corrupt_record").isNull() & F.col("arm").isNotNull()).drop("_corrupt_record")
     df = df.select(*[c for c in df.columns if c not in ("memory", "lessons_recalled", "lesson_learned", "draft_sql", "agents")],
                    F.coalesce("draft_sql", F.lit("")).alias("draft_sql"),
                    F.coalesce("agents", F.array().cast("array<string>")).alias("agents"),
                    F.coalesce("memory", F.lit(False)).alias("memory"),
                    F.coalesce("lessons_recalled", F.lit(0)).alias("lessons_recalled"),
                    F.coalesce("lesson_learned", F.lit(False)).alias("lesson_learned"))
-    cols = [c for c in df.columns if c not in ("arm", "question_id")]
-    latest = df.groupBy("arm", "question_id").agg(
-        F.max_by(F.struct(*cols), F.struct(F.coalesce("written_at", F.lit(None).cast("timestamp")))).alias("_r"))
+    cols = [c for c in df.columns if c not in ("arm", "question_id", "_place")]
+    latest = df.groupBy("arm", "question_id").agg(F.max_by(F.struct(*cols), F.struct("written_at", "_place")).alias("_r"))
     return latest.select("arm", "question_id", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
@@ -77,50 +133,33 @@ def load_lessons(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("db_id", F.coalesce("db_id", F.lit(""))))
 
 
-def discover(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Dataset files under ``root`` (recursive) matching ``glob``: id = file stem;
-    the first path (lexically) wins for a repeated id. Only path and length are
-    read — never file contents."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-             .load(root).select("path", "length"))
-    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    return files.groupBy(stem.alias("id")).agg(F.min("path").alias("path"), F.min_by("length", "path").alias("length"))
+def discover_tables(spark: SparkSession, root: str, suffix: str = ".parquet") -> list[tuple[str, str]]:
+    """``(id, path)`` of the dataset files or folders under ``root`` that end in
+    ``suffix``, in order: id = name without it; the first path wins for a repeated id.
+    Folders named so are datasets and not descended into; only names are read."""
+    fs, top = _at(spark, root)
+    found, todo = {}, [top]
+    while todo:
+        for s in sorted(fs.listStatus(todo.pop(0)), key=lambda s: s.getPath().toString()):
+            path = s.getPath()
+            if path.getName().endswith(suffix):
+                found.setdefault(path.getName().removesuffix(suffix), path.toString())
+            elif s.isDirectory() and not path.getName().startswith(("_", ".")):
+                todo.append(path)
+    return sorted(found.items())
 
 
 def save_runs(df: DataFrame, path: str) -> None:
-    """Replace the run log atomically: write a staging directory (Spark's commit
-    protocol covers the job), then swap it in with two renames."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    stage = f"{path}.staging-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").json(stage)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(stage), target)
+    """Replace the run log in one switch (see :func:`publish`)."""
+    publish(df, path, "json")
 
 
 def write_with_backup(df: DataFrame, path: str, backup: str) -> None:
-    """Keep the pre-change data once (``mode('ignore')`` never overwrites an
-    existing backup), then overwrite."""
+    """Keep the data as it was before the first change, once, then replace it."""
     spark = df.sparkSession
-    if _exists(spark, path):
-        spark.read.parquet(path).write.mode("ignore").parquet(backup)
-    df.write.mode("overwrite").parquet(path + ".next")
-    save_swap(spark, path + ".next", path)
-
-
-def save_swap(spark: SparkSession, src: str, dst: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    d = jvm.org.apache.hadoop.fs.Path(dst)
-    fs = d.getFileSystem(conf)
-    if fs.exists(d):
-        fs.rename(d, jvm.org.apache.hadoop.fs.Path(f"{dst}.old-{uuid.uuid4().hex}"))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(src), d)
+    if (now := current(spark, path)) and not current(spark, backup):
+        publish(spark.read.parquet(now), backup, "parquet")
+    publish(df, path, "parquet")
 
 
 def write_cache(df: DataFrame, path: str) -> None:
@@ -128,5 +167,44 @@ def write_cache(df: DataFrame, path: str) -> None:
     df.withColumn("shard", F.substring("key", 1, 2)).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def _unused():
-    return Window
+# The printed form of a run row and the text of what it cannot hold.
+ROW_END = r"\)(?=[,}])"
+RECOVERED = "recovered from notebook output"
+NOTEBOOK_SCHEMA = ("cells array<struct<cell_type:string, outputs:array<struct<output_type:string, "
+                   "data:struct<`text/plain`:array<string>>>>>>")
+
+
+def recover_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Run rows from the outputs of executed notebooks (JSON, one per file): every
+    ``Row(...)`` printed by a cell's final expression, its fields by name. Rows without
+    an arm or id are skipped; of several rows of an (arm, question) in a notebook the
+    last counts, then the lexically last notebook. The SQL texts are not recoverable
+    (the printed form cuts them) and are ''. A row ends at the first ``)`` before a
+    comma or brace, also inside a quoted text, as the printed form gives no other mark."""
+    books = (spark.read.schema(NOTEBOOK_SCHEMA).option("multiLine", True).json(path)
+             .select(F.col("_metadata.file_path").alias("file"), "cells"))
+    outputs = (books.select("file", F.posexplode("cells").alias("cell", "c"))
+               .select("file", "cell", F.posexplode("c.outputs").alias("output", "o"))
+               .where(F.col("o.output_type") == "execute_result"))
+    text = F.array_join(F.col("o.data").getField("text/plain"), "")
+    bodies = outputs.select("file", "cell", "output", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)Row\((.*?)" + ROW_END), 1)).alias("at", "body"))
+
+    def field(pattern: str):
+        return F.nullif(F.regexp_extract("body", pattern, 0), F.lit("")), F.regexp_extract("body", pattern, 1)
+
+    def value(pattern: str, default):
+        whole, part = field(pattern)
+        return F.when(whole.isNull(), F.lit(default)).otherwise(part)
+
+    agents = F.filter(F.transform(F.split(value(r"agents=\[([^\]]*)\]", ""), ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")), lambda x: x != "")
+    rows = bodies.select(
+        value(r"strategy='([^']*)'", "").alias("arm"), value(r"question_id=([0-9]+)", None).cast("long").alias("question_id"),
+        value(r"db_id='([^']*)'", "").alias("db_id"), value(r"difficulty='([^']*)'", "").alias("difficulty"),
+        (value(r"(?<![a-z_])correct=(True|False)", "") == "True").alias("correct"), (value(r"draft_correct=(True|False)", "") == "True").alias("draft_correct"),
+        value(r"calls=([0-9]+)", "0").cast("int").alias("calls"), value(r"seconds=([0-9.]+)", "0").cast("double").alias("seconds"),
+        (value(r"repaired=(True|False)", "") == "True").alias("repaired"), agents.alias("agents"),
+        F.struct("file", "cell", "output", "at").alias("_place")).where((F.col("arm") != "") & F.col("question_id").isNotNull())
+    cols = [c for c in rows.columns if c not in ("arm", "question_id", "_place")]
+    last = rows.groupBy("arm", "question_id").agg(F.max_by(F.struct(*cols), "_place").alias("r"))
+    return last.select("arm", "question_id", *[F.col(f"r.{c}").alias(c) for c in cols],
+                       F.lit("").alias("sql"), F.lit("").alias("draft_sql"), F.lit(RECOVERED).alias("reason"))

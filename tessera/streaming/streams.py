@@ -1,14 +1,16 @@
 """STR — live versions of progress, windowed accuracy, upserts, dedup and span pairing.
 
-Source: ``readStream`` over the events parquet (schema given, never inferred).
-Event time is cast to TIMESTAMP (Spark refuses TIMESTAMP_NTZ as a watermark
-column). Every query takes a checkpoint location, so a restarted query resumes
-where it stopped; ``trigger(availableNow=True)`` drains what is there and stops.
+Source: ``readStream`` over a feed of event files (schema given, never inferred); the
+keys replay the events table as such a feed, in time order and several files, so state
+is carried over several micro-batches. Event time is cast to TIMESTAMP (Spark refuses
+TIMESTAMP_NTZ as a watermark column). Every query takes a checkpoint location, so a
+restarted query resumes where it stopped; ``trigger(availableNow=True)`` drains what
+is there and stops. Results are written as tables (a Parquet sink, or ``foreachBatch``
+into a versioned table that one pointer switches), never kept in the driver.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,95 +18,133 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_line
 from ..operators.attempts import latest_per_key
+from ..session import ensure_checkpoint_dir
+from ..sources.files import current, publish
 
-
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir)
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+FEED_PARTS = 4
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint directory (shared on a cluster)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return os.path.join(base.replace("file:", ""), f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def feed(spark: SparkSession, sf_dir: str, parts: int = FEED_PARTS) -> str:
+    """The events table written as a feed: ``parts`` consecutive stretches of time, one
+    after the other, so that a file source reads them in that order."""
+    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "feed")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    lo, hi = span.lo or 0, span.hi or 0
+    part = F.least(F.floor((at - lo) * F.lit(parts) / F.lit(hi - lo + 1)), F.lit(parts - 1))
+    for i in range(parts):
+        events.where(F.coalesce(part, F.lit(0)) == i).write.mode("append").parquet(path)
+    return path
+
+
+def events_stream(spark: SparkSession, feed_dir: str, max_files: int = 1) -> DataFrame:
+    schema = spark.read.parquet(feed_dir).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(feed_dir)
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _run(df: DataFrame, mode: str, checkpoint: str, each) -> None:
+    q = (df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
-def _drain(df: DataFrame, mode: str, checkpoint: str, name: str):
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
+def _append(df: DataFrame, checkpoint: str, table_dir: str) -> None:
+    q = (df.writeStream.outputMode("append").format("parquet").option("path", table_dir)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return q
 
 
-def running_accuracy(spark: SparkSession, sf_dir: str, checkpoint: str) -> DataFrame:
-    """Live accuracy of attempts per arm (complete mode)."""
-    s = events_stream(spark, sf_dir)
-    agg = s.groupBy(F.col("event_type").alias("arm")).agg(
+def _merge(batch: DataFrame, table_dir: str, keys: list[str], order: list[str], values: list[str]) -> None:
+    """Fold a micro-batch into a keyed table: one row per key, the latest by ``order``.
+    The same batch again gives the same table."""
+    spark = batch.sparkSession
+    rows = batch.select(*keys, *values)
+    if now := current(spark, table_dir):
+        rows = spark.read.parquet(now).unionByName(rows)
+    publish(latest_per_key(rows, keys, order, values), table_dir, "parquet")
+
+
+def _table(spark: SparkSession, table_dir: str) -> DataFrame:
+    return spark.read.parquet(current(spark, table_dir))
+
+
+def running_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
+    """Live accuracy of attempts per arm (complete mode: one row per arm each time)."""
+    agg = events_stream(spark, feed_dir).groupBy(F.col("event_type").alias("arm")).agg(
         F.count(F.lit(1)).alias("attempts"), F.round(F.lit(100.0) * F.avg((F.col("value") >= 30).cast("double")), 4).alias("acc"))
-    name = f"str_acc_{uuid.uuid4().hex[:8]}"
-    _drain(agg, "complete", checkpoint, name)
-    return spark.table(name)
+    _run(agg, "complete", checkpoint, lambda batch, epoch: publish(batch, table_dir, "parquet"))
+    return _table(spark, table_dir)
 
 
-def windowed_accuracy(spark: SparkSession, sf_dir: str, checkpoint: str, window: str = "1 day",
-                      lateness: str = "1 hour") -> DataFrame:
-    """Per tumbling event-time window and arm, with a lateness bound (append mode)."""
-    s = events_stream(spark, sf_dir).withWatermark("ts", lateness)
+def windowed_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, window: str = "1 day",
+                      lateness: str = "10 days") -> DataFrame:
+    """Per tumbling event-time window and arm, with a lateness bound. Update mode:
+    every change of a window is merged into the table, so windows that are still open
+    are there too."""
+    s = events_stream(spark, feed_dir).withWatermark("ts", lateness)
     agg = s.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("arm")).agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") >= 30).alias("ok"))
-    name = f"str_win_{uuid.uuid4().hex[:8]}"
-    _drain(agg, "append", checkpoint, name)
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "arm", "attempts", "ok")
+    rows = agg.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "arm", "attempts", "ok")
+    _run(rows, "update", checkpoint, lambda batch, epoch: _merge(batch, table_dir, ["day", "arm"], ["attempts"], ["attempts", "ok"]))
+    return _table(spark, table_dir)
 
 
-def upsert_runs(spark: SparkSession, sf_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
-    """Last-write-wins run table kept by ``foreachBatch``: each micro-batch is
-    reduced to its latest row per (arm, question) and appended; readers take the
-    latest per key. Restartable from the checkpoint."""
-    s = events_stream(spark, sf_dir).select(F.col("event_type").alias("arm"), F.col("user_id").alias("question_id"),
-                                            "ts", "event_id", (F.col("value") >= 30).alias("correct"))
+def session_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, gap: str = "12 hours") -> DataFrame:
+    """Per question and session: attempts no more than ``gap`` apart (complete mode)."""
+    s = events_stream(spark, feed_dir)
+    agg = s.groupBy(F.session_window("ts", gap).alias("w"), F.col("user_id").alias("question_id")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") >= 30).alias("ok"))
+    rows = agg.select("question_id", F.unix_micros("w.start").alias("start_us"), "attempts", "ok")
+    _run(rows, "complete", checkpoint, lambda batch, epoch: publish(batch, table_dir, "parquet"))
+    return _table(spark, table_dir)
 
-    def upsert(batch: DataFrame, epoch: int):
-        latest_per_key(batch, ["arm", "question_id"], ["ts", "event_id"], ["ts", "event_id", "correct"]) \
-            .withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(table_dir)
 
-    q = (s.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return latest_per_key(spark.read.parquet(table_dir), ["arm", "question_id"], ["ts", "event_id"], ["event_id", "correct"])
+def upsert_runs(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
+    """Last-write-wins run table: each micro-batch is folded into the keyed table, which
+    holds one row per (arm, question) and keeps no earlier epoch's rows."""
+    s = events_stream(spark, feed_dir).select(F.col("event_type").alias("arm"), F.col("user_id").alias("question_id"),
+                                              "ts", "event_id", (F.col("value") >= 30).alias("correct"))
+    _run(s, "append", checkpoint, lambda batch, epoch: _merge(
+        batch, table_dir, ["arm", "question_id"], ["ts", "event_id"], ["ts", "event_id", "correct"]))
+    return _table(spark, table_dir).select("arm", "question_id", "event_id", "correct")
 
 
-def dedup_lessons(spark: SparkSession, sf_dir: str, checkpoint: str, lateness: str = "2 days") -> DataFrame:
-    """Admit each (scope, error, folded SQL) once within the watermark."""
-    s = events_stream(spark, sf_dir)
+def dedup_lessons(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
+    """Admit each (scope, error, folded SQL) once ever: the state holds the admitted
+    keys, as the lesson store itself does."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    lessons = s.select("ts", "event_id", F.concat(F.lit("db"), (F.col("user_id") % 11).cast("string")).alias("scope"),
-                       F.concat(F.lit("no such column: c"), (k % 5).cast("string")).alias("error"),
-                       one_line(F.concat(F.col("event_type"), F.lit(" :  "), (k % 4).cast("string"))).alias("sql"))
-    d = lessons.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["scope", "error", "sql"])
-    name = f"str_dedup_{uuid.uuid4().hex[:8]}"
-    _drain(d, "append", checkpoint, name)
-    return spark.table(name).select("scope", "error", "sql")
+    lessons = events_stream(spark, feed_dir).select(
+        F.concat(F.lit("db"), (F.col("user_id") % 11).cast("string")).alias("scope"),
+        F.concat(F.lit("no such column: c"), (k % 5).cast("string")).alias("error"),
+        one_line(F.concat(F.col("event_type"), F.lit(" :  "), (k % 4).cast("string"))).alias("sql"))
+    _append(lessons.dropDuplicates(["scope", "error", "sql"]), checkpoint, table_dir)
+    return spark.read.parquet(table_dir)
 
 
-def span_pairing(spark: SparkSession, sf_dir: str, checkpoint: str, timeout_s: int = 300) -> DataFrame:
+def span_pairing(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, timeout_s: int = 300,
+                 lateness: str = "10 days") -> DataFrame:
     """Join span-open and span-close events into durations with a stream–stream
-    left outer join; opens without a close inside ``timeout_s`` are emitted as
-    failed when the watermark passes."""
-    s = events_stream(spark, sf_dir)
-    opens = s.select(F.col("event_id").alias("span_id"), F.col("ts").alias("open_ts"), "event_type").withWatermark("open_ts", "10 minutes")
+    left outer join; opens without a close inside ``timeout_s`` are failed once the
+    watermark passes. Opens that the watermark has not passed when the feed ends are
+    failed then, from the feed itself."""
+    s = events_stream(spark, feed_dir)
+    opens = s.select(F.col("event_id").alias("span_id"), F.col("ts").alias("open_ts"), "event_type").withWatermark("open_ts", lateness)
     closes = (s.where(F.col("value") < timeout_s)
               .select(F.col("event_id").alias("close_id"),
                       (F.col("ts") + F.make_interval(secs=F.col("value"))).alias("close_ts"))
-              .withWatermark("close_ts", "10 minutes"))
+              .withWatermark("close_ts", lateness))
     cond = (F.col("span_id") == F.col("close_id")) & (F.col("close_ts") >= F.col("open_ts")) & \
            (F.col("close_ts") <= F.col("open_ts") + F.expr(f"INTERVAL {timeout_s} SECONDS"))
-    j = opens.join(closes, cond, "leftOuter")
-    out = j.select("span_id", "event_type",
-                   F.when(F.col("close_ts").isNull(), "failed").otherwise("ok").alias("status"),
-                   (F.unix_micros("close_ts") - F.unix_micros("open_ts")).alias("duration_us"))
-    name = f"str_pair_{uuid.uuid4().hex[:8]}"
-    _drain(out, "append", checkpoint, name)
-    return spark.table(name)
+    out = opens.join(closes, cond, "leftOuter").select(
+        "span_id", "event_type", F.when(F.col("close_ts").isNull(), "failed").otherwise("ok").alias("status"),
+        (F.unix_micros("close_ts") - F.unix_micros("open_ts")).alias("duration_us"))
+    _append(out, checkpoint, table_dir)
+    paired = spark.read.schema(out.schema).parquet(table_dir)
+    rest = spark.read.parquet(feed_dir).select(F.col("event_id").alias("span_id"), "event_type").join(paired.select("span_id"), "span_id", "left_anti")
+    return paired.unionByName(rest.select("span_id", "event_type", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("duration_us")))

@@ -12,7 +12,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tessera.session import get_spark
-    s = get_spark("local[4]", 4, extra={"tessera.ordered.sliceRows": "7"})
+    s = get_spark("local[4]", 4, extra={"tessera.ordered.slices": "7"})
     yield s
 
 

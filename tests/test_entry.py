@@ -21,7 +21,7 @@ def test_every_key_has_callable_and_oracle_names(spark):
 
 
 def test_stream_upsert_equals_batch(spark, t):
-    got = ST.upsert_runs(spark, SF001, ST.scratch(spark, "ck"), ST.scratch(spark, "runs"))
+    got = ST.upsert_runs(spark, ST.feed(spark, SF001), ST.scratch(spark, "ck"), ST.scratch(spark, "runs"))
     batch = D.runs(t.events)
     assert got.count() == batch.count()
     j = got.join(batch.select("arm", "question_id", F.col("correct").alias("bc")), ["arm", "question_id"])
@@ -29,7 +29,7 @@ def test_stream_upsert_equals_batch(spark, t):
 
 
 def test_stream_running_accuracy_equals_batch(spark, t):
-    got = {r.arm: (r.attempts, r.acc) for r in ST.running_accuracy(spark, SF001, ST.scratch(spark, "ck")).collect()}
+    got = {r.arm: (r.attempts, r.acc) for r in ST.running_accuracy(spark, ST.feed(spark, SF001), ST.scratch(spark, "ck"), ST.scratch(spark, "acc")).collect()}
     batch = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"),
                                                F.round(F.lit(100.0) * F.avg((F.col("value") >= 30).cast("double")), 4).alias("a"))
     assert got == {r.event_type: (r.n, r.a) for r in batch.collect()}
