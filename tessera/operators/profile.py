@@ -43,20 +43,22 @@ def catalog(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, l
 
 
 def column_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Null count and exact distinct count of every column, one aggregate per table."""
+    """Null count and exact distinct count of every column. Each table is unpivoted
+    once to (column, 128-bit hash of the value): whole texts, pages and vectors are
+    hashed where they are read, equal values are combined before the only shuffle,
+    and no aggregate holds a column's values."""
     out = []
     for name in sorted(tables):
         df = tables[name]
-        aggs = []
-        for f in df.schema.fields:
-            c = F.col(f"`{f.name}`")
-            aggs += [F.count_if(c.isNull()).alias(f"n__{f.name}"), F.count_distinct(c).alias(f"d__{f.name}")]
-        wide = df.agg(*aggs)
-        stack = F.inline(F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column_name"),
-                     F.col(f"n__{f.name}").alias("null_count"), F.col(f"d__{f.name}").alias("n_distinct"))
-            for i, f in enumerate(df.schema.fields, 1)]))
-        out.append(wide.select(F.lit(name).alias("table_name"), stack))
+        cells = F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.unhex(F.md5(F.col(f"`{f.name}`").cast("string"))).alias("h"))
+                                   for i, f in enumerate(df.schema.fields, 1)]))
+        per = (df.select(cells).groupBy("ordinal", "h").agg(F.count(F.lit(1)).alias("_f")).groupBy("ordinal").agg(
+            F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("_f"))), F.lit(0)).cast("long").alias("null_count"), F.count("h").alias("n_distinct")))
+        names = F.create_map(*[x for i, f in enumerate(df.schema.fields, 1) for x in (F.lit(i), F.lit(f.name))])
+        every = df.sparkSession.range(1, len(df.schema.fields) + 1).select(F.col("id").cast("int").alias("ordinal"))  # columns of an empty table too
+        out.append(every.join(per, "ordinal", "left").select(
+            F.lit(name).alias("table_name"), "ordinal", names[F.col("ordinal")].alias("column_name"),
+            F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")))
     return _union(out)
 
 
@@ -72,22 +74,19 @@ def categorical_samples(tables: dict[str, DataFrame], keys: dict[str, list[str]]
     ``max_samples`` values, smallest first.
 
     Two passes: an ``approx_count_distinct`` gate over every text column (one
-    aggregate per table, collected — one row per table), then an exact
+    aggregate per table, all in one job; one row per table is collected), then an exact
     unpivot + ``groupBy(column, value)`` over the survivors only. The gate keeps
     columns estimated under 2× the limit, far outside the estimator's error."""
     keys = keys or {}
+    texts = {name: cols for name in sorted(tables) if (cols := _text_columns(tables[name], keys.get(name, [])))}
+    gates = _union([tables[name].agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02) for c in cols]).alias("n"))
+                    .select(F.lit(name).alias("name"), "rows", "n") for name, cols in texts.items()])
     parts = []
-    for name in sorted(tables):
-        df = tables[name]
-        cols = _text_columns(df, keys.get(name, []))
-        if not cols:
-            continue
-        gate = df.agg(F.count(F.lit(1)).alias("_rows"),
-                      *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(c) for c in cols]).first()
-        survivors = [c for c in cols if gate[c] <= 2 * max_distinct]
+    for gate in sorted(gates.collect()):
+        name, df, rows = gate["name"], tables[gate["name"]], gate["rows"]
+        survivors = [c for c, n in zip(texts[name], gate["n"]) if n <= 2 * max_distinct]
         if not survivors:
             continue
-        rows = gate["_rows"]
         long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                      F.col(f"`{c}`").cast("string").alias("value"))
                                             for c in survivors]))).where(F.col("value").isNotNull())
@@ -108,13 +107,12 @@ def date_like_samples(tables: dict[str, DataFrame], hints=DATE_HINTS) -> DataFra
     parts = []
     for name in sorted(tables):
         df = tables[name]
-        for f in df.schema.fields:
-            if any(h in f.name.lower() for h in hints):
-                c = F.col(f"`{f.name}`")
-                v = (F.date_format(F.min(c), "yyyy-MM-dd") if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
-                     else F.min(c.cast("string")))
-                parts.append(df.agg(v.alias("sample")).select(F.lit(name).alias("table_name"),
-                                                              F.lit(f.name).alias("column_name"), "sample"))
+        dated = [f for f in df.schema.fields if any(h in f.name.lower() for h in hints)]
+        if dated:
+            typed = (T.DateType, T.TimestampType, T.TimestampNTZType)
+            least = [F.struct(F.lit(f.name).alias("column_name"), (F.date_format(F.min(f"`{f.name}`"), "yyyy-MM-dd") if isinstance(f.dataType, typed)
+                                                                  else F.min(F.col(f"`{f.name}`").cast("string"))).alias("sample")) for f in dated]
+            parts.append(df.agg(F.array(*least).alias("each")).select(F.lit(name).alias("table_name"), F.inline("each")))
     return _union(parts)
 
 
@@ -181,17 +179,21 @@ def schema_card(catalog_df: DataFrame, counts: DataFrame, samples: DataFrame, ed
                 F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("card")))
 
 
-def compact_card(catalog_df: DataFrame) -> DataFrame:
-    """``table(col, col, …)`` per table, columns in ordinal order."""
+def compact_card(catalog_df: DataFrame, profile: DataFrame) -> DataFrame:
+    """``table(col, col, …)`` per table: the columns that hold a value, in ordinal
+    order, from the data's own profile."""
+    held = profile.where(F.col("n_distinct") > 0).select("table_name", "column_name")
+    catalog_df = catalog_df.join(held, ["table_name", "column_name"], "left_semi")
     g = catalog_df.groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))).alias("_c"))
     return g.select("table_name", F.concat(F.col("table_name"), F.lit("("),
                                            F.array_join(F.transform("_c", lambda x: x["column_name"]), ", "),
                                            F.lit(")")).alias("card"))
 
 
-def subset(catalog_df: DataFrame, proposals: DataFrame) -> DataFrame:
+def subset(catalog_df: DataFrame, proposals: DataFrame, counts: DataFrame) -> DataFrame:
     """Keep the named tables (case-insensitive); report proposals that do not
-    exist; if none resolves, keep every table. Output: (name, status)."""
+    exist; if none resolves, keep every table. Output: (name, status, n_rows), rows
+    counted from the data, -1 for a table that does not exist."""
     names = catalog_df.select("table_name").distinct()
     props = proposals.select(F.col("name").alias("proposal"), F.lower("name").alias("_l"))
     hits = names.join(props, F.col("table_name") == F.col("_l"), "left_semi")
@@ -201,4 +203,5 @@ def subset(catalog_df: DataFrame, proposals: DataFrame) -> DataFrame:
     kept = kept_if_any.unionByName(kept_all).select(F.col("table_name").alias("name"), F.lit("kept").alias("status"))
     unknown = (props.join(names, F.col("_l") == F.col("table_name"), "left_anti")
                .select(F.col("proposal").alias("name"), F.lit("unknown").alias("status")))
-    return kept.unionByName(unknown)
+    sized = kept.join(counts.withColumnRenamed("table_name", "name"), "name")
+    return sized.unionByName(unknown.withColumn("n_rows", F.lit(-1).cast("long")))

@@ -22,22 +22,26 @@ def clean_replies(df: DataFrame, col: str = "reply") -> DataFrame:
 
 
 def tool_calls(df: DataFrame, col: str = "reply") -> DataFrame:
-    """Tool calls written as text: unwrap ``<tool_call>`` tags or code fences,
-    accept one object or an array, flat (``name``/``arguments``) or nested
-    (``function.name``/``function.arguments``), arguments as an object or as
-    JSON text; calls without a name are dropped; prose yields no call."""
-    c = F.col(col)
-    tagged = F.regexp_extract(c, r"(?s)<tool_call>(.*?)</tool_call>", 1)
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = X.strip(F.when(tagged != "", tagged).when(fenced != "", fenced).otherwise(c))
-    v = F.try_parse_json(body)
-    as_array = F.when(F.schema_of_variant(v).startswith("ARRAY"), v).otherwise(
-        F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))))
-    items = df.select("*", F.posexplode_outer(F.try_variant_get(as_array, "$", "array<variant>")).alias("call_no", "item"))
-    name = F.coalesce(F.try_variant_get("item", "$.name", "string"), F.try_variant_get("item", "$.function.name", "string"))
-    args_v = F.coalesce(F.try_variant_get("item", "$.arguments", "variant"),
-                        F.try_variant_get("item", "$.function.arguments", "variant"))
-    args_text = F.try_variant_get(args_v, "$", "string")
-    args = F.when(F.try_parse_json(args_text).isNotNull() & args_text.startswith("{"), F.to_json(F.try_parse_json(args_text))) \
-        .otherwise(F.to_json(args_v))
+    """Tool calls written as text: unwrap ``<tool_call>`` tags or code fences (one that
+    is never closed reaches to the end), accept one object or an array, flat
+    (``name``/``arguments``) or nested (``function.name``/``function.arguments``), with
+    ``parameters`` as another name of the arguments, which are an object or JSON text of
+    one; anything else, or nothing, is ``{}``. Calls without a name are dropped; prose
+    yields no call."""
+    text = X.strip(F.col(col))
+
+    def inside(opening: str, closing: str):
+        return F.substring_index(F.substr(text, F.instr(text, opening) + F.lit(len(opening))), closing, 1)
+
+    body = X.strip(F.when(text.contains("<tool_call>"), inside("<tool_call>", "</tool_call>"))
+                   .when(text.contains("```json"), inside("```json", "```")).when(text.contains("```"), inside("```", "```")).otherwise(text))
+    v = F.try_parse_json(F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).when(body.startswith("["), body))
+    items = df.select("*", F.posexplode_outer(F.try_variant_get(v, "$", "array<variant>")).alias("call_no", "item"))
+    nested = F.schema_of_variant(F.try_variant_get("item", "$.function", "variant")).startswith("OBJECT")
+    fn = F.when(nested, F.try_variant_get("item", "$.function", "variant")).otherwise(F.col("item"))
+    items = items.withColumn("_fn", fn)
+    name = F.try_variant_get("_fn", "$.name", "string")
+    given = F.coalesce(F.try_variant_get("_fn", "$.arguments", "variant"), F.try_variant_get("_fn", "$.parameters", "variant"))
+    as_text = F.when(F.schema_of_variant(given) == "STRING", F.try_parse_json(F.try_variant_get(given, "$", "string"))).otherwise(given)
+    args = F.when(F.schema_of_variant(as_text).startswith("OBJECT"), F.to_json(as_text)).otherwise(F.lit("{}"))
     return items.where(name.isNotNull() & (name != "")).select(*df.columns, "call_no", name.alias("tool"), args.alias("arguments"))

@@ -1,9 +1,7 @@
 """VAL — stored values behind empty results, and reference linting.
 
 Similarity is ``1 − levenshtein(a, b) / max(len a, len b)`` (JVM built-in, the
-all-builtin default); ``closest_difflib`` re-scores candidates with Python's
-``difflib`` ratio through a pandas UDF for fidelity with the reference's
-ranking. Candidates are needle × stored value of the *same column*: needles are
+all-builtin default). Candidates are needle × stored value of the *same column*: needles are
 a small table (literals of a query log) broadcast behind a row bound, so the
 dictionary is never shuffled for the join. Top-k per needle runs in two
 stages (per needle and value-hash salt, then per needle), so a needle with
@@ -14,10 +12,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.joins import bounded
 
@@ -59,33 +55,27 @@ def _top_k(cands: DataFrame, key: str, order: list[Column], k: int) -> DataFrame
 
 def closest(needles: DataFrame, dictionary: DataFrame, n: int = MAX_VALUES, cutoff: float = VALUE_CUTOFF) -> DataFrame:
     """Per needle: stored values with similarity ≥ ``cutoff`` first (best first),
-    then the remaining values (smallest first), ``n`` in all."""
-    d = dictionary.select("table_name", "column_name", "value")
-    c = d.join(bounded(needles), ["table_name", "column_name"])
-    c = c.withColumn("score", similarity(F.col("literal"), F.col("value")))
-    is_match = F.col("score") >= cutoff
-    order = [F.when(is_match, 0).otherwise(1), F.when(is_match, -F.col("score")).otherwise(F.lit(0.0)), F.col("value")]
-    top = _top_k(c, "needle_id", order, n)
-    return top.select("needle_id", "rank", "value", F.round("score", 4).alias("score"), is_match.alias("close"))
-
-
-@F.pandas_udf(T.DoubleType())
-def difflib_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    import difflib
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None
-                      for x, y in zip(a, b)])
-
+    then the remaining values (smallest first), ``n`` in all.
 
-def closest_difflib(needles: DataFrame, dictionary: DataFrame, n: int = MAX_VALUES,
-                    cutoff: float = VALUE_CUTOFF) -> DataFrame:
-    """As :func:`closest`, scored with difflib's ratio (Arrow-batched pandas UDF)."""
+    Only values whose length allows the cutoff are scored (similarity cannot exceed the
+    ratio of the lengths). Of the remaining values a needle needs fewer than ``n``, and
+    fewer than ``n`` are close if it needs any, so the ``2 n`` smallest of the column
+    hold them all."""
     d = dictionary.select("table_name", "column_name", "value")
-    c = d.join(bounded(needles), ["table_name", "column_name"])
-    c = c.withColumn("score", difflib_ratio(F.col("literal"), F.col("value")))
-    is_match = F.col("score") >= cutoff
-    order = [F.when(is_match, 0).otherwise(1), F.when(is_match, -F.col("score")).otherwise(F.lit(0.0)), F.col("value")]
-    top = _top_k(c, "needle_id", order, n)
-    return top.select("needle_id", "rank", "value", F.round("score", 4).alias("score"), is_match.alias("close"))
+    few = bounded(needles)
+    shorter, longer = F.least(F.length("literal"), F.length("value")), F.greatest(F.length("literal"), F.length("value"))
+    score = similarity(F.col("literal"), F.col("value"))
+    near = d.join(few, ["table_name", "column_name"]).where(shorter >= F.lit(cutoff) * longer - F.lit(1e-9)).withColumn("score", score).where(F.col("score") >= cutoff)
+    near = _top_k(near, "needle_id", [F.desc("score"), F.col("value")], n)
+    column = F.concat_ws(".", "table_name", "column_name")
+    least = _top_k(d.withColumn("_column", column), "_column", [F.col("value")], 2 * n).drop("rank", "_column")
+    rest = needles.join(least, ["table_name", "column_name"]).withColumn("score", score).where(F.col("score") < cutoff)
+    both = near.select("needle_id", "value", "score", F.lit(True).alias("close")).unionByName(
+        rest.select("needle_id", "value", "score", F.lit(False).alias("close")))
+    # At most n close values and 2 n others of one needle.
+    w = Window.partitionBy("needle_id").orderBy(F.desc("close"), F.desc(F.when(F.col("close"), F.col("score"))), "value")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
+        "needle_id", "rank", "value", F.round("score", 4).alias("score"), "close")
 
 
 def diagnose(predicates: DataFrame, dictionary: DataFrame, shown: int = DIAGNOSE_SHOWN) -> DataFrame:

@@ -78,15 +78,25 @@ def review(df: DataFrame) -> DataFrame:
     return df.select("question_id", "round", clean.alias("clean"), feedback.alias("feedback"))
 
 
-def feedback(attempts: DataFrame) -> DataFrame:
+def schema_hints(problems: DataFrame) -> DataFrame:
+    """``check_refs`` problems → (query_id, hint): one line per problem, in order; a
+    query has as many as it has references."""
+    line = F.concat(F.lit("Schema: "), "problem", F.lit(" "), "name", F.when(F.col("detail") != "", F.concat(F.lit(" ("), "detail", F.lit(")"))).otherwise(F.lit("")))
+    return problems.select("query_id", line.alias("line")).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("hint"))
+
+
+def feedback(attempts: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """attempts(arm, question_id, attempt_no, ok, error, mode, review_clean, review_text).
-    none → nothing; a failure → the database error plus a hint (execution and
+    none → nothing; a failure → the database error plus a hint and, if ``hints``
+    (arm, question_id, attempt_no, hint) holds any, what the schema says (execution and
     both); a success → the review's feedback only if it is not clean
     (critique and both); otherwise nothing."""
     uses_exec = F.col("mode").isin("execution", "both")
     uses_crit = F.col("mode").isin("critique", "both")
+    key = ["arm", "question_id", "attempt_no"]
+    attempts = attempts.withColumn("hint", F.lit(None).cast("string")) if hints is None else attempts.join(hints, key, "left")
     fb = (F.when(F.col("mode") == "none", F.lit(None))
           .when(~F.col("ok") & uses_exec,
-                F.concat(F.lit("The query failed: "), F.col("error"), F.lit("\nHint: check table and column names.")))
+                F.concat_ws("\n", F.concat(F.lit("The query failed: "), F.col("error")), F.lit("Hint: check table and column names."), F.col("hint")))
           .when(F.col("ok") & uses_crit & ~F.col("review_clean"), F.col("review_text")))
     return attempts.select("arm", "question_id", "attempt_no", fb.alias("feedback"))

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import attempts as W
 from ..operators import ops as O
+from ..operators import profile as P
 from ..operators import querylog as L
 from ..operators import sampling as S
 from ..operators import text as TX
+from ..operators import values as VA
 from ..operators import voting as V
 from ..sources.tables import tables
 from . import derived as D
@@ -130,7 +132,7 @@ def vot_review_clean(spark, d):
 @register("vot_feedback_fork", with_(ATTEMPTS) + """
 SELECT arm, question_id, attempt_no,
   CASE WHEN mode = 'none' THEN NULL
-       WHEN NOT ok AND mode IN ('execution', 'both') THEN concat('The query failed: ', error, chr(10) || 'Hint: check table and column names.')
+       WHEN NOT ok AND mode IN ('execution', 'both') THEN concat('The query failed: ', error, chr(10) || 'Hint: check table and column names.', chr(10) || 'Schema: unknown column ', replace(error, 'no such column: ', ''), ' (in scope)')
        WHEN ok AND mode IN ('critique', 'both') AND k % 3 = 1 THEN concat('Reviewer: result looks incomplete (', CAST(k AS VARCHAR), ')')
   END AS feedback
 FROM (SELECT *, CASE arm WHEN 'error' THEN 'none' WHEN 'click' THEN 'execution' WHEN 'purchase' THEN 'critique'
@@ -140,7 +142,14 @@ def vot_feedback_fork(spark, d):
     a = a.select("arm", "question_id", "attempt_no", "ok", "error", D.mode_of(F.col("arm")).alias("mode"),
                  (F.col("k") % 3 != 1).alias("review_clean"),
                  F.concat(F.lit("Reviewer: result looks incomplete ("), F.col("k").cast("string"), F.lit(")")).alias("review_text"))
-    return V.feedback(a)
+    # What a failed query named is checked against the events table it asked.
+    failed = a.where(~F.col("ok")).select("arm", "question_id", "attempt_no", F.concat_ws("|", "arm", "question_id", "attempt_no").alias("query_id"),
+                                          F.replace("error", F.lit("no such column: "), F.lit("")).alias("name"))
+    refs = failed.select("query_id", F.lit("table").alias("kind"), F.lit(None).cast("string").alias("qualifier"), F.lit("events").alias("name")).unionByName(
+        failed.select("query_id", F.lit("column").alias("kind"), F.lit(None).cast("string").alias("qualifier"), "name"))
+    known = P.catalog(spark, {"events": tables(spark, d).events})
+    hints = failed.join(V.schema_hints(VA.check_refs(refs, known)), "query_id").select("arm", "question_id", "attempt_no", "hint")
+    return V.feedback(a, hints)
 
 
 # ---------------------------------------------------------------- TXT
@@ -188,7 +197,12 @@ def txt_json_loose(spark, d):
                                      F.try_variant_get(X.json_loose(F.col("reply")), "$.score", "string").alias("json_score"))
 
 
-@register("txt_tool_calls")
+@register("txt_tool_calls", with_(REPLIES) + """
+SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN concat('<tool_call>{"name": "run_sql", "arguments": {"sql": "', role, '"}}</tool_call>')
+                           ELSE concat('```json' || chr(10) || '[{"function": {"name": "find_values", "arguments": "{\\"column\\": \\"', role, '\\"}"}}]' || chr(10) || '```') END AS reply,
+       CAST(0 AS INTEGER) AS call_no, CASE WHEN turn % 4 = 0 THEN 'run_sql' ELSE 'find_values' END AS tool,
+       CASE WHEN turn % 4 = 0 THEN concat('{"sql":"', role, '"}') ELSE concat('{"column":"', role, '"}') END AS arguments
+FROM replies WHERE turn % 4 < 2""")
 def txt_tool_calls(spark, d):
     r = _replies(spark, d)
     m = F.col("turn") % 4

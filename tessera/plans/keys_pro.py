@@ -141,20 +141,24 @@ def pro_schema_card(spark, d):
     return P.schema_card(P.catalog(spark, t, KEYS), P.row_counts(t), P.categorical_samples(t, KEYS), _edges(spark))
 
 
-@register("pro_compact_card", f"""WITH {CATALOG_SQL}
+HELD_SQL = "held AS (" + " UNION ALL ".join(
+    f"SELECT {lit(t)} AS table_name, {lit(c)} AS column_name FROM {t} HAVING count({c}) > 0" for t in sorted(COLUMNS) for c, _ in COLUMNS[t]) + ")"
+
+
+@register("pro_compact_card", f"""WITH {CATALOG_SQL}, {HELD_SQL}
 SELECT table_name, concat(table_name, '(', string_agg(column_name, ', ' ORDER BY ordinal), ')') AS card
-FROM catalog GROUP BY table_name""")
+FROM catalog JOIN held USING (table_name, column_name) GROUP BY table_name""")
 def pro_compact_card(spark, d):
-    return P.compact_card(_catalog(spark, d))
+    return P.compact_card(_catalog(spark, d), P.column_profile(_t(spark, d)))
 
 
-@register("pro_subset", f"""WITH {CATALOG_SQL},
+@register("pro_subset", f"""WITH {CATALOG_SQL}, {COUNTS_SQL},
 props(name) AS (VALUES {', '.join('(' + lit(p) + ')' for p in PROPOSALS)}),
 names AS (SELECT DISTINCT table_name FROM catalog),
 hits AS (SELECT table_name FROM names WHERE table_name IN (SELECT lower(name) FROM props))
-SELECT table_name AS name, 'kept' AS status FROM hits
-UNION ALL SELECT table_name, 'kept' FROM names WHERE (SELECT count(*) FROM hits) = 0
-UNION ALL SELECT name, 'unknown' FROM props WHERE lower(name) NOT IN (SELECT table_name FROM names)""")
+SELECT table_name AS name, 'kept' AS status, n_rows FROM hits JOIN counts USING (table_name)
+UNION ALL SELECT table_name, 'kept', n_rows FROM names JOIN counts USING (table_name) WHERE (SELECT count(*) FROM hits) = 0
+UNION ALL SELECT name, 'unknown', -1 FROM props WHERE lower(name) NOT IN (SELECT table_name FROM names)""")
 def pro_subset(spark, d):
     props = spark.createDataFrame([(p,) for p in PROPOSALS], "name string")
-    return P.subset(_catalog(spark, d), props)
+    return P.subset(_catalog(spark, d), props, P.row_counts(_t(spark, d)))

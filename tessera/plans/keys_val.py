@@ -74,12 +74,6 @@ def val_closest(spark, d):
     return V.closest(_needles(t), _dict(spark, d)).withColumn("rank", F.col("rank").cast("int"))
 
 
-@register("val_closest_difflib")
-def val_closest_difflib(spark, d):
-    t = load_tables(spark, d, register=False)
-    return V.closest_difflib(_needles(t), _dict(spark, d))
-
-
 PRED_SQL = """preds AS (
   SELECT DISTINCT concat('q:', lower(split_part(o_orderpriority, '-', 2))) AS query_id, 'orders' AS table_name,
          'o_orderpriority' AS column_name, lower(split_part(o_orderpriority, '-', 2)) AS literal FROM orders
