@@ -3,8 +3,10 @@
 Two histograms of each whole text, its characters by class and its common words, are
 compared with references of every language by Jensen-Shannon distance (0 to 1). The
 references are sums over all documents of a language that pass the base rules; the
-executors sum them, one row per task and language. A text fails if its distance to
-the nearest language exceeds the limit of either histogram. Short texts scatter, so
+executors sum them, one row per task and language. A text may quote another language,
+so it is compared with the mixture of references that fits its words best (weights by
+expectation maximisation; ``nearest`` is the heaviest). It fails if its distance
+exceeds the limit of either histogram. Short texts scatter, so
 the word limit grows by ``WORD_SLACK / sqrt(words)``, and a text under the guards'
 minimum length is not judged by that histogram.
 
@@ -35,7 +37,7 @@ COMMON = {
 }
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "symbol", "other", "wide")
 MIN_CHARS, MIN_WORDS = 100, 50
-CHAR_LIMIT, WORD_LIMIT, WORD_SLACK = 0.3, 0.13, 1.8
+CHAR_LIMIT, WORD_LIMIT, WORD_SLACK = 0.3, 0.135, 1.9
 
 _VOCABULARY = {w.encode(): i for i, w in enumerate(sorted({w for ws in COMMON.values() for w in ws.split()}))}
 _SPELLINGS = {w + stop: i for w, i in _VOCABULARY.items() for stop in (b"", b",", b".", b";", b":", b"!", b"?")}
@@ -69,16 +71,25 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int, np.ndarray, np
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of the rows of ``p`` to one histogram ``q``; 0 if either is empty."""
-    p = np.atleast_2d(np.asarray(p, np.float64))
-    if not q.sum():
-        return np.zeros(len(p))
-    size = p.sum(axis=1, keepdims=True)
-    p, q = p / np.maximum(size, 1), q / q.sum()
+    """Jensen-Shannon distance of the rows of ``p`` to ``q``, one histogram or as many
+    rows; 0 if either is empty."""
+    p, q = np.atleast_2d(np.asarray(p, np.float64)), np.atleast_2d(np.asarray(q, np.float64))
+    size, ref = p.sum(axis=1, keepdims=True), q.sum(axis=1, keepdims=True)
+    p, q = p / np.maximum(size, 1e-300), q / np.maximum(ref, 1e-300)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         both = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
-    return np.where(size[:, 0] > 0, np.sqrt(np.clip(both / 2, 0, 1)), 0)
+    return np.where((size * ref)[:, 0] > 0, np.sqrt(np.clip(both / 2, 0, 1)), 0)
+
+
+def shares(common: np.ndarray, references: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Weights of the references (rows, each summing to 1) in each row of word counts."""
+    out = np.full((len(common), len(references)), 1 / len(references))
+    for _ in range(rounds):
+        ratio = common / np.maximum(out @ references, 1e-12)
+        out = out * (ratio @ references.T) + 1e-12
+        out /= out.sum(axis=1, keepdims=True)
+    return out
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
@@ -122,6 +133,8 @@ def references(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def judge(rows: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Adds ``char_distance, word_distance, nearest, kept``."""
     rows, names = rows.drop("lang"), list(refs)
+    if refs:
+        by_chars, by_words = (np.array([r[i] / max(r[i].sum(), 1) for r in refs.values()]) for i in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,10 +142,9 @@ def judge(rows: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> Da
             failed = np.array(b.column("base_failed").to_pylist(), bool)
             by_char, by_word, nearest = np.zeros(b.num_rows), np.zeros(b.num_rows), [None] * b.num_rows
             if refs and b.num_rows:
-                each_char, each_word = (np.stack([distance(x, r[i]) for r in refs.values()]) for i, x in enumerate((chars, common)))
-                best = (each_char + each_word).argmin(axis=0)
-                at = np.arange(b.num_rows)
-                by_char, by_word, nearest = each_char[best, at], each_word[best, at], [names[i] for i in best]
+                share = shares(common, by_words)
+                by_char, by_word = distance(chars, share @ by_chars), distance(common, share @ by_words)
+                nearest = [names[i] for i in share.argmax(axis=1)]
             n = common.sum(axis=1)
             wrong = (chars.sum(axis=1) >= MIN_CHARS) & (by_char > CHAR_LIMIT) | (n >= MIN_WORDS) & (by_word > WORD_LIMIT + WORD_SLACK / np.sqrt(np.maximum(n, 1)))
             kept = b.select(b.schema.names[:-2])

@@ -57,3 +57,16 @@ def test_odd_rows(spark):
     got = V.quality_rules(df).collect()
     assert len(got) == len(rows) and [r.kept for r in got if r.doc_id is None] == [False]
     assert V.quality_rules(df.limit(0)).count() == 0
+
+
+def test_a_text_in_two_languages_is_no_outlier(spark):
+    import random
+    rnd = random.Random(1)
+
+    def prose(lang, n):
+        return " ".join(rnd.choice(V.COMMON[lang].split()) if rnd.random() < 0.4 else "".join(rnd.choices("abcdefgh", k=5)) for _ in range(n))
+
+    rows = [(i, prose(lang, 200), lang) for i, lang in enumerate(["en", "fr"] * 30)]
+    rows += [(100, prose("en", 150) + " " + prose("fr", 150), "en"), (101, " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)), "en")]
+    got = {r.doc_id: r for r in V.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100].kept and not got[101].kept and all(got[i].kept and got[i].nearest == rows[i][2] for i in range(60))
