@@ -150,7 +150,7 @@ def closest_identifier(problems: DataFrame, refs: DataFrame, catalog: DataFrame,
         .select("query_id", F.col("name").alias("s_table"))
     n_scope = scope.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     cols = catalog.select(F.col("table_name").alias("c_table"), F.col("column_name").alias("cand"))
-    t_probs = problems.where(F.col("problem") == "unknown table").crossJoin(F.broadcast(tabs))
+    t_probs = problems.where(F.col("problem") == "unknown table").crossJoin(bounded(tabs, 10_000))  # the catalog's table names
     c_on_table = (problems.where((F.col("problem") == "unknown column") & (F.col("detail") != "in scope"))
                   .join(cols, F.col("detail") == F.col("c_table")).drop("c_table"))
     unq = problems.where((F.col("problem") == "unknown column") & (F.col("detail") == "in scope"))
