@@ -18,8 +18,12 @@ Enumeration splits signatures by pigeonhole, at two grains:
 
 No bucket is expanded into all its pairs. First every node is compared with a few
 bucket representatives (linear in the nodes), and what links is joined into components.
-After that only buckets that still hold several components are looked at, and only
-pairs between different components: a pair inside one component cannot change it.
+After that only buckets that still hold several components are looked at. Light ones
+give the pairs between their different components (a pair inside one cannot change
+it). Nodes that meet through keys of three symbols form clusters; a cluster is dealt
+into blocks of ``BLOCK`` nodes, each pair of blocks is one task that compares full sets
+by a matrix product and returns no more links than join its nodes, so neither rows nor
+a task's memory grow with the square of a group.
 
 Defined cases: a text with fewer than five words is one shingle, its whole word
 sequence; without words, or null, it has an empty set, links with nothing and is its
@@ -48,6 +52,8 @@ CHUNK = 4
 LIGHT = 32
 PERCENT = 75
 ROUNDS = 2
+BLOCK = 256
+COLUMNS = 16_384
 MAX_BROADCAST_NODES = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -91,7 +97,7 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     word = _mix((total[last + 1] - total[first]) * down[first])
     k = min(words, len(word))
     n = len(word) - k + 1
-    out = np.full(n, _PLACE[WORDS] * np.uint64(k), np.uint64)
+    out = np.full(n, int(_PLACE[WORDS]) * k % (1 << 64), np.uint64)
     for j in range(k):
         out = out * np.uint64(_BASE) + _mix(word[j:j + n] + _PLACE[j])
     return np.unique(_mix(out))
@@ -209,7 +215,7 @@ def _representatives(members: DataFrame, turn: int) -> DataFrame:
         F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
 
-def link(sketches: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame | None:
+def link(sketches: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """``node, component`` of the nodes that have a link."""
     keys = nodes.select("node", F.posexplode("signature").alias("k", "symbol")).select(
         "node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("symbol").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
@@ -229,21 +235,79 @@ def link(sketches: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int
         labels = components(links)
         chunks = [F.xxhash64(F.lit(c), F.lit(out), *[F.get("signature", F.lit(c + j)) for j in range(CHUNK) if j != out]).alias("key")
                   for c in range(0, SYMBOLS, CHUNK) for out in range(CHUNK)]
-        wide = _still_mixed(_labelled(heavy.select("node", F.explode(F.array(*chunks)).alias("key")), labels))
-        links = _more(links, _confirmed(sketches, nodes, _across(staged(wide, "wide"))))
+        wide = staged(_still_mixed(_labelled(heavy.select("node", F.explode(F.array(*chunks)).alias("key")), labels)), "wide")
+        links = _more(links, _cluster_links(sketches, wide, block))
     return components(links)
 
 
+def _cluster_links(sketches: DataFrame, wide: DataFrame, block: int) -> DataFrame:
+    """Links between different components of ``wide(key, node, component)``: nodes that
+    meet in a bucket, directly or through others, are compared block by block."""
+    first = staged(wide.groupBy("key").agg(F.min("node").alias("b")), "first")
+    cluster = components(wide.join(first, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    cluster = staged(cluster.select("node", F.col("component").alias("cluster")).join(wide.select("node", "component").distinct(), "node"), "clusters")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = cluster.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = dealt.select("cluster", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = staged(paired, "paired").join(sketches.select(F.col("row").alias("node"), "text"), "node").select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+        apart = component[:, None] != component[None, :]
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            apart &= own[:, None] != own[None, :]
+        links = []
+        if apart.any():
+            sets = [shingles(x) for x in table.column("text").cast(pa.binary()).to_pylist()]
+            linked = apart & _linked(sets)
+            root = list(range(len(node)))
+            for a, b in zip(*np.nonzero(np.triu(linked)), strict=True):
+                a, b = _root(root, int(a)), _root(root, int(b))
+                if a != b:
+                    root[b] = a
+                    links.append((int(node[a]), int(node[b])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return staged(rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _root(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = i = root[root[i]]
+    return i
+
+
+def _linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of a block's sets link, by their exact intersections: an incidence matrix
+    times itself, a bounded number of columns at a time."""
+    size = np.array([len(x) for x in sets], np.float64)
+    of = np.repeat(np.arange(len(sets)), size.astype(int))
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    of, at = of[keep], shared[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        x, y = np.searchsorted(at, (low, low + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[of[x:y], at[x:y] - low] = 1
+        both += part @ part.T
+    return 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+
+
 def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if links is None else links.unionAll(new)
 
 
-def _judged(sketches: DataFrame, light: int, rounds: int) -> DataFrame:
+def _judged(sketches: DataFrame, light: int, rounds: int, block: int = BLOCK) -> DataFrame:
     """``row, doc_id, n_shingles, set_key, component, component_id, kept`` of every sketch."""
     filled = sketches.where(F.col("set_key").isNotNull())
     nodes = staged(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     told = staged(filled.select(F.col("row").alias("node"), "n_shingles", "signature").join(nodes.select("node"), "node"), "signatures")
-    labels = staged(link(sketches, told, light, rounds), "components")
+    labels = staged(link(sketches, told, light, rounds, block), "components")
     placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = staged(placed.select("set_key", "component").join(least, "component"), "of-set")  # a hot set's join side can be split
@@ -252,10 +316,10 @@ def _judged(sketches: DataFrame, light: int, rounds: int) -> DataFrame:
     return joined.withColumn("component_id", own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_duplicates(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     sketches = staged(sketch(docs.select("doc_id", "text")), "sketches")
-    return _judged(sketches, light, rounds).select("doc_id", "n_shingles", "component_id", "kept")
+    return _judged(sketches, light, rounds, block).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:

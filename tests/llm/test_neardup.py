@@ -68,10 +68,11 @@ def test_equals_brute_force(spark):
 
 
 def test_heavy_path_equals_brute_force(spark):
-    """With light buckets of two nodes, most of the work goes through chunks of four symbols."""
+    """With light buckets of two nodes, most of the work goes through chunks of four
+    symbols, and with blocks of eight nodes through pairs of blocks."""
     docs = corpus(9)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert got(df, light=2, rounds=1) == brute(docs)
+    assert got(df, light=2, rounds=1, block=8) == brute(docs)
 
 
 def test_empty_table_and_no_links(spark):
