@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended
@@ -31,6 +31,7 @@ from .common import extended
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 PER_LANGUAGE = 500
+SALTS = 32
 UND = "und"
 
 # Families of the languages such corpora hold.
@@ -138,11 +139,12 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``doc_id, lang``: the ``per_language`` ids of smallest hash in each language.
     Ids are chosen first, so no text is sorted; the rank is limited before the shuffle."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    return (labelled.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-            .withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang"))
+    out = labelled.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
+    out = out.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):  # a hot language is ranked by many tasks first, then a bounded rest of it
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        out = out.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    return out.select("doc_id", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, families=None) -> dict:
