@@ -235,7 +235,8 @@ def link(sketches: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int
         labels = components(links)
         chunks = [F.xxhash64(F.lit(c), F.lit(out), *[F.get("signature", F.lit(c + j)) for j in range(CHUNK) if j != out]).alias("key")
                   for c in range(0, SYMBOLS, CHUNK) for out in range(CHUNK)]
-        wide = staged(_still_mixed(_labelled(heavy.select("node", F.explode(F.array(*chunks)).alias("key")), labels)), "wide")
+        spread = staged(heavy.select("node", F.explode(F.array(*chunks)).alias("key")), "wide-keys")  # read twice below
+        wide = staged(_still_mixed(_labelled(spread, labels)), "wide")
         links = _more(links, _cluster_links(sketches, wide, block))
     return components(links)
 
