@@ -8,8 +8,12 @@ characters per tag, adjusted by the share of links in it and in the body; a node
 density sum adds its children's. The node with the largest density sum is found, the
 least density on its path to the body is the threshold. From that node the path is
 climbed as long as what it adds is not mostly links and, at the body, no branch is
-below the threshold; an article element ends the climb, and a wrapper of one article
-counts as that article. The whole text is returned, except lists made of links only.
+below the threshold. Where that fails, the branches are judged one by one: those at or
+above the threshold, headings, paragraphs and the like that are not mostly links, and
+what lies between two kept blocks stay; of other branches, the parts at or above the
+threshold. An article element ends the climb (sibling articles at or above the threshold
+stay), and a wrapper of one article counts as that article. The whole text of what was
+kept is returned, except lists made of links only.
 
 Blocks are separated by block-level tags and line breaks; character references are
 decoded, white space in a block becomes one blank.
@@ -39,6 +43,7 @@ CLOSES_P = BLOCK - frozenset("br body html caption option optgroup legend tbody
 IMPLIED_END = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
                "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
                "tbody": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",))}
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre ul ol dl table figure figcaption address details".split())
 NOISE_TAGS = frozenset("nav header footer aside form script style noscript template button select textarea input label iframe object embed svg "
                        "canvas audio video head title menu dialog fieldset search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -170,8 +175,8 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int
     return density, total, chars, link_chars
 
 
-def main_node(tree: Tree, density: list[float], total: list[float], chars: list[int], link_chars: list[int]) -> int:
-    """Root of the main text."""
+def main_nodes(tree: Tree, density: list[float], total: list[float], chars: list[int], link_chars: list[int]) -> tuple[list[int], set[int]]:
+    """Roots of the main text, and the pieces of text between them that are in no root."""
     best = max(range(len(total)), key=lambda i: (total[i], chars[i], -i))
     # A body or wrapper around one article is that article.
     n, named = len(total), [t in ("article", "main") for t in tree.tag]
@@ -187,16 +192,50 @@ def main_node(tree: Tree, density: list[float], total: list[float], chars: list[
     while path[-1]:
         path.append(tree.parent[path[-1]])
     threshold = min((density[i] for i in path if density[i] > 0), default=0.0)
+    children: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if chars[i] and not tree.noise[i]:
+            children.setdefault(tree.parent[i], []).append(i)
+
+    def prose(i: int) -> bool:
+        return 2 * link_chars[i] <= chars[i]
+
+    roots, parted, light = [best], set(), []
     for below, above in zip(path, path[1:]):
-        if tree.tag[below] in ("article", "main"):
+        beside = [i for i in children.get(above, ()) if i != below]
+        if named[below]:  # ends the climb; an article split over sibling articles is all of them
+            roots += [i for i in beside if tree.tag[i] == tree.tag[below] == "article" and prose(i) and density[i] >= threshold]
             break
         added, links = chars[above] - chars[below], link_chars[above] - link_chars[below]
-        beside = [i for i in range(below + 1 if not above else len(total), len(total)) if tree.parent[i] == above]
-        beside += [i for i in range(above + 1, below) if not above and tree.parent[i] == above]
-        if 2 * links > added or any(chars[i] and density[i] < threshold for i in beside):
-            break
-        best = above
-    return best
+        if roots == [below] and 2 * links <= added and (above or all(density[i] >= threshold for i in beside)):
+            roots = [above]
+            continue
+        parted.add(above)
+        while beside:
+            i = beside.pop()
+            if prose(i) and (density[i] >= threshold or tree.tag[i] in PROSE and tree.parent[i] == above):
+                roots.append(i)
+            elif tree.parent[i] == above and (prose(i) or tree.tag[i] in PROSE or tree.tag[i] not in BLOCK):
+                light.append(i)
+            else:
+                beside += children.get(i, ())
+    if not parted:
+        return roots, set()
+    # What lies between two kept blocks belongs to them.
+    inside, owner = [False] * n, [-1] * n
+    for i in roots:
+        inside[i] = True
+    for i in light:
+        owner[i] = i
+    for i in range(1, n):
+        if tree.parent[i] >= 0:
+            inside[i] = inside[i] or inside[tree.parent[i]]
+            owner[i] = owner[i] if owner[i] >= 0 else owner[tree.parent[i]]
+    loose = {k: len(" ".join(text.split())) for k, (node, text) in enumerate(tree.pieces) if text and node in parted}
+    kept = [k for k, (node, text) in enumerate(tree.pieces) if text and inside[node] or loose.get(k, 0) >= max(threshold, 1)]
+    between = range(kept[0], kept[-1] + 1)
+    found = {owner[tree.pieces[k][0]] for k in between if tree.pieces[k][1]}
+    return roots + [i for i in light if i in found], {k for k in loose if k in between}
 
 
 def extract(page: str | None) -> str:
@@ -205,10 +244,11 @@ def extract(page: str | None) -> str:
         return ""
     tree = Tree(page)
     density, total, chars, link_chars = densities(tree)
-    root = main_node(tree, density, total, chars, link_chars)
+    roots, loose = main_nodes(tree, density, total, chars, link_chars)
     n = len(tree.parent)
     inside, links_only = [False] * n, [False] * n
-    inside[root] = True
+    for i in roots:
+        inside[i] = True
     for i in range(1, n):
         p = tree.parent[i]
         inside[i] = inside[i] or inside[p]
@@ -220,10 +260,10 @@ def extract(page: str | None) -> str:
             blocks.append(line)
         now.clear()
 
-    for node, text in tree.pieces:
+    for k, (node, text) in enumerate(tree.pieces):
         if text is None:
             end_block()
-        elif inside[node] and not links_only[node]:
+        elif (inside[node] or k in loose) and not links_only[node]:
             now.append(text)
     end_block()
     return "\n".join(blocks)

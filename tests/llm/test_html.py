@@ -27,6 +27,16 @@ def test_no_article_element():
     assert D.extract(page(body)) == f"Head\n{LONG}\n{LONG}"
 
 
+def test_article_split_over_sibling_blocks():
+    div, text = f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", "\n".join([LONG] * 3)
+    links = "<div>" + "".join(f'<a href="/{i}">link {i}</a> ' for i in range(20)) + "</div>"
+    assert D.extract(page(f"<h1>Head</h1>{div}{div}")) == f"Head\n{text}\n{text}"
+    assert D.extract(page(f"{NAV}{links}<h1>Head</h1>{div}<h2>More</h2>loose <a href='#'>end</a><div>short</div>{div}<p>Last.</p><div>by me</div>{links}")) == \
+        f"Head\n{text}\nMore\nloose end\nshort\n{text}\nLast."
+    assert D.extract(page(f"<div>{links}<h1>Head</h1>{div}{links * 9}{div}</div>")) == f"Head\n{text}\n{text}"
+    assert D.extract(page(f"{NAV}<article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG}</p></article>")) == "\n".join([LONG] * 4)
+
+
 def test_broken_markup():
     assert D.extract(page(f"<article><h1>One</h1><p><b>Two<br><p>{LONG}<p>Three</article>")) == f"One\nTwo\n{LONG}\nThree"
     assert D.extract(f"<html><body>{NAV}<article><p>{LONG}") == LONG
