@@ -3,7 +3,11 @@
 The page becomes a tree in one pass over its tags (implied ends, void and raw-text
 elements are honoured; a truncated page is closed at its end). Elements that by name
 or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments do not count. For every other node the density is its
+styles or reader comments do not count. A class or id does not exclude an element around
+the article, one with most of the page's text outside links, or a heading; words that
+may be a topic (legal, related, discussion, search, header) exclude no prose inside an
+article, or section of a page without one; names as ``no-sidebar``, ``has-header``,
+``layout-with-sidebar`` and ``comments-open`` mean nothing. For every other node the density is its
 characters per tag, adjusted by the share of links in it and in the body; a node's
 density sum adds its children's. The node with the largest density sum is found, the
 least density on its path to the body is the threshold. From that node the path is
@@ -13,7 +17,8 @@ above the threshold, headings, paragraphs and the like that are not mostly links
 what lies between two kept blocks stay; of other branches, the parts at or above the
 threshold. An article element ends the climb (sibling articles at or above the threshold
 stay), and a wrapper of one article counts as that article. The whole text of what was
-kept is returned, except lists made of links only.
+kept is returned, lists of links too, except those that stand before any other text
+outside an article (the page's menu).
 
 Blocks are separated by block-level tags and line breaks; character references are
 decoded, white space in a block becomes one blank.
@@ -52,24 +57,42 @@ NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ads
                         "header masthead topbar footer footers copyright legal comment comments disqus reply replies responses respond discussion share sharing "
                         "social newsletter subscribe subscription signup login search related recommended pagination pager toolbar skip form".split())
 
+# Words of NOISE_WORDS that may also name a part of an article.
+TOPIC_WORDS = frozenset("header legal related discussion search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+NEGATIONS = frozenset("no not non without with has have hide hides".split())
+LAYOUT_WORDS = frozenset("layout".split())
+STATE_WORDS = frozenset("open opened closed enabled disabled on off".split())
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
 _CLASSES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def _class_words(attributes: str) -> tuple[set[str], bool]:
+    """Noise words of the class and id, and whether one of them is a whole name. Words
+    after no-, has-, with- ..., in a layout's name or with a state (comments-open) say
+    nothing about the element itself."""
+    found, whole = set(), False
+    for m in _CLASSES.finditer(attributes):
+        if m[1].lower() == "role":
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [x.lower() for x in _NAME_PARTS.split(name) if x]
+            if parts and (LAYOUT_WORDS.intersection(parts) or parts[-1] in STATE_WORDS):
+                continue
+            parts = parts[:next((k for k, x in enumerate(parts) if x in NEGATIONS), len(parts))]
+            found |= NOISE_WORDS.intersection(parts)
+            whole = whole or bool(parts) and NOISE_WORDS.issuperset(parts)
+    return found, whole
+
+
 def _is_noise(tag: str, attributes: str) -> bool:
     if tag in NOISE_TAGS:
         return True
     if tag in ("body", "html", "main", "article") or not attributes:
         return False
-    for m in _CLASSES.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.strip().lower() in NOISE_ROLES:
-                return True
-        elif not NOISE_WORDS.isdisjoint(x.lower() for x in _NAME_PARTS.split(value)):
-            return True
-    return False
+    return any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in NOISE_ROLES for m in _CLASSES.finditer(attributes))
 
 
 class Tree:
@@ -77,6 +100,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.parent, self.tag, self.noise, self.pieces = [-1], ["body"], [False], []
+        self.named: dict[int, tuple[set[str], bool]] = {}
         stack, at, end = [0], 0, len(page)
         while at < end:
             m = _TAG.search(page, at)
@@ -100,6 +124,8 @@ class Tree:
             self.parent.append(stack[-1])
             self.tag.append(name)
             self.noise.append(self.noise[stack[-1]] or _is_noise(name, m[3]))
+            if m[3] and not self.noise[node] and name not in HEADINGS and name not in ("main", "article") and (words := _class_words(m[3]))[0]:
+                self.named[node] = words
             if name in BLOCK:
                 self.pieces.append((node, None))
             if name in RAW:
@@ -110,6 +136,45 @@ class Tree:
                 stack.append(node)
             elif name not in VOID and name in BLOCK | {"a", "b", "i", "span", "em", "strong"}:
                 stack.append(node)  # HTML ignores the slash of a normal element
+        if self.named:
+            self._exclude()
+
+    def _exclude(self) -> None:
+        """Elements whose class or id is a noise word are noise, unless they hold the main text."""
+        n = len(self.parent)
+        chars, link_chars, most, holds, within, link = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            within[i] = within[p] or self.tag[i] in ("article", "main") and not self.noise[i]
+            link[i] = link[p] or self.tag[i] == "a"
+        for node, text in self.pieces:
+            if text is not None:
+                k = len(" ".join(text.split()))
+                chars[node] += k
+                link_chars[node] += k * link[node]
+        for i in range(n - 1, -1, -1):
+            if self.tag[i] in ("article", "main") and not self.noise[i] and chars[i] > link_chars[i]:
+                holds[i], most[i] = True, max(most[i], chars[i] - link_chars[i])
+            if i:
+                p = self.parent[i]
+                chars[p] += chars[i]
+                link_chars[p] += link_chars[i]
+                holds[p], most[p] = holds[p] or holds[i], max(most[p], most[i])
+        prose = [c - x for c, x in zip(chars, link_chars)]
+        for i in range(1, n):
+            self.noise[i] = self.noise[i] or self.noise[self.parent[i]]
+            if self.noise[i] or i not in self.named:
+                continue
+            words, whole = self.named[i]
+            if holds[i] and 10 * most[i] >= most[0]:
+                continue  # around the article
+            if words <= TOPIC_WORDS and 2 * prose[i] >= chars[i] > 0 and (within[i] or self.tag[i] == "section" and not holds[0]):
+                continue  # a part of the article by its topic
+            # A name that is noise words alone must hold nearly all, any other most of the page's text.
+            if prose[i] * 10 > prose[0] * (9 if whole else 5) and (holds[i] or 10 * most[0] < prose[i]):
+                continue
+            self.noise[i] = True
+        self.pieces = [(node, text) for node, text in self.pieces if text is None or not self.noise[node]]
 
     def _text(self, node: int, text: str) -> None:
         if not self.noise[node]:
@@ -249,10 +314,14 @@ def extract(page: str | None) -> str:
     inside, links_only = [False] * n, [False] * n
     for i in roots:
         inside[i] = True
+    # Outside an article a list of links before any other text is the page's menu.
+    started = any(tree.tag[i] in ("article", "main") for i in roots)
+    own = {node for node, text in tree.pieces if text and not text.isspace()}
     for i in range(1, n):
         p = tree.parent[i]
         inside[i] = inside[i] or inside[p]
-        links_only[i] = links_only[p] or (tree.tag[i] in ("ul", "ol", "menu", "dl") and chars[i] > 0 and link_chars[i] == chars[i])
+        links_only[i] = links_only[p] or (not started and tree.tag[i] in ("ul", "ol", "dl") and chars[i] > 0 and link_chars[i] == chars[i])
+        started = started or inside[i] and i in own and not links_only[i]
     blocks, now = [], []
 
     def end_block():

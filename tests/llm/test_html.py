@@ -37,6 +37,29 @@ def test_article_split_over_sibling_blocks():
     assert D.extract(page(f"{NAV}<article><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG}</p><p>{LONG}</p></article>")) == "\n".join([LONG] * 4)
 
 
+def test_class_words_do_not_remove_the_article():
+    text = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head\n{LONG}\n{LONG}"
+    for name in ("no-sidebar", "layout-with-sidebar", "has-header", "comments-open", "page widget-area", "sidebar", "legal"):
+        for inner in (f"<article>{text}</article>", f"<main>{text}</main>", f"<div class='content'>{text}</div>", text):
+            assert D.extract(page(f"{NAV}<div class='{name}'>{inner}</div><div class='footer'>me</div>")) == want, (name, inner)
+    parts = f"<h2 class='section-header'>Part</h2><section class='legal'><p>{LONG}</p></section><section id='discussion'><h2>Talk</h2><p>{LONG}</p></section><div class='related'><p>{LONG}</p></div>"
+    assert D.extract(page(f"<article>{text}{parts}<div class='related'><a href='/'>other</a></div><div class='ad'>Buy</div></article>")) == \
+        f"{want}\nPart\n{LONG}\nTalk\n{LONG}\n{LONG}"
+    # What is noise stays noise, long as it may be.
+    comments = f"<div id='comments'>{f'<p>{LONG}</p>' * 9}</div>"
+    assert D.extract(page(f"<article>{text}</article>{comments}<div class='page-header'>Site</div>")) == want
+    assert D.extract(page(f"<div class='no-sidebar'><div class='content'>{text}</div><div class='sidebar'><p>{LONG}</p></div></div>")) == want
+
+
+def test_lists_of_links_in_the_article():
+    links = "<ol>" + "".join(f'<li><a href="/{i}">Work {i}</a></li>' for i in range(9)) + "</ol>"
+    listed = "\n".join(f"Work {i}" for i in range(9))
+    assert D.extract(page(f"{NAV}<article>{links}<h1>Head</h1><p>{LONG}</p>{links}<ul class='menu'><li><a href='/'>home</a></ul></article>")) == \
+        f"{listed}\nHead\n{LONG}\n{listed}"
+    assert D.extract(page(f"<div>{links}<h1>Head</h1><p>{LONG}</p><p>{LONG}</p><h2>References</h2>{links}</div>")) == f"Head\n{LONG}\n{LONG}\nReferences\n{listed}"
+
+
 def test_broken_markup():
     assert D.extract(page(f"<article><h1>One</h1><p><b>Two<br><p>{LONG}<p>Three</article>")) == f"One\nTwo\n{LONG}\nThree"
     assert D.extract(f"<html><body>{NAV}<article><p>{LONG}") == LONG
