@@ -5,8 +5,8 @@ expressions define them and always stay. Around every stretch of tokens with a d
 or an at sign, a semi-Markov CRF scores whole candidate segments of up to
 ``MAX_PIECES`` pieces: shape, check sums, length and randomness of the span, the words
 before it and its boundaries are features of the segment, not of single tokens. The
-best segmentation chooses boundaries and types jointly by dynamic programming; its
-entities that overlap no base span are added (types ``id`` and ``secret``, and
+best segmentation chooses boundaries and types jointly by dynamic programming, which
+reads a stretch of any length piece by piece; its entities that overlap no base span are added (types ``id`` and ``secret``, and
 spellings of the base types that their patterns miss).
 
 The CRF is fitted here by conditional likelihood (forward-backward over segments) on
@@ -19,8 +19,11 @@ one; extra columns are ignored. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +36,7 @@ from .common import extended
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
 MAX_PIECES = 16
+STARTS = 64  # pieces whose candidate segments are scored at a time
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -105,30 +109,70 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _form(s: str) -> tuple[float, ...]:
+    """Features of a segment's own characters."""
+    shapes = [1.0 if p.fullmatch(s) else 0.0 for _, p in _SHAPES]
+    more = (bool(shapes[3]) and luhn(_digits(s)), bool(shapes[8]) and s.isascii() and _iban(s), bool(shapes[2]) and all(int(x) < 256 for x in s.split(".")),
+            s[0].isalnum() != s[-1].isalnum(), " " in s or "\n" in s, "\n" in s, len(s) > 1 and not s[-1].isalnum())
+    return (*shapes, *(1.0 if x else 0.0 for x in more))
+
+
+_known_form = lru_cache(maxsize=1 << 14)(_form)
+
+
 def _features(text: str, a: int, b: int, cues: list[float]) -> list[float]:
-    s = text[a:b]
-    shapes = [float(p.fullmatch(s) is not None) for _, p in _SHAPES]
-    digits = _digits(s)
-    left, right = text[a - 1:a], text[b:b + 1]
-    more = [float(bool(shapes[3]) and luhn(digits)), float(bool(shapes[8]) and s.isascii() and _iban(s)),
-            float(bool(shapes[2]) and all(int(x) < 256 for x in s.split("."))), float(left.isalnum() or right.isalnum()), float(s[0].isalnum() != s[-1].isalnum()),
-            float(" " in s or "\n" in s), float("\n" in s), float(len(s) > 1 and not s[-1].isalnum())]
-    return [1.0, *shapes, *cues, *more]
+    form = _known_form(text[a:b]) if b - a <= 64 else _form(text[a:b])
+    n = len(_SHAPES)
+    edge = 1.0 if text[a - 1:a].isalnum() or text[b:b + 1].isalnum() else 0.0
+    return [1.0, *form[:n], *cues, *form[n:n + 3], edge, *form[n + 3:]]
+
+
+def _candidates(text: str, a: int, ends) -> list[list[float]]:
+    """Feature vectors of the segments that start at ``a``, one for each end."""
+    near = text[max(0, a - 32):a].lower()[-32:]
+    cues = [1.0 if p.search(near) else 0.0 for _, p in CUES]
+    return [_features(text, a, b, cues) for b in ends]
+
+
+def best_entities(text: str, start: int, end: int, w: np.ndarray) -> list[tuple[str, int, int]]:
+    """Entities of the best segmentation of one stretch of text of any length: features
+    of ``STARTS`` pieces at a time, and a few numbers for each piece."""
+    begin, stop = array("q"), array("q")
+    for m in _PIECE.finditer(text, start, end):
+        begin.append(m.start())
+        stop.append(m.end())
+    n = len(begin)
+    total, length, kind = array("d", [-math.inf]) * (n + 1), bytearray(n + 1), bytearray(n + 1)
+    total[0] = 0.0
+    for first in range(0, n, STARTS):
+        rows, spans = [], []
+        for i in range(first, min(first + STARTS, n)):
+            ends = stop[i:i + MAX_PIECES]
+            rows += _candidates(text, begin[i], ends)
+            spans += [(i, i + k) for k in range(1, len(ends) + 1)]
+        s = np.array(rows) @ w
+        s[[j - i > 1 for i, j in spans], 0] = -1e9
+        for (i, j), c, value in zip(spans, s.argmax(axis=1).tolist(), s.max(axis=1).tolist()):  # by start, so total[i] is final
+            if total[i] + value > total[j]:
+                total[j], length[j], kind[j] = total[i] + value, j - i, c
+    out, j = [], n
+    while j:
+        if kind[j]:
+            out.append((KINDS[kind[j] - 1], begin[j - length[j]], stop[j - 1]))
+        j -= length[j]
+    return out[::-1]
 
 
 class Lattice:
-    """Candidate segments of one stretch of text and their feature vectors."""
+    """Candidate segments of one short stretch of text (a training sentence) and their feature vectors."""
 
     def __init__(self, text: str, start: int, end: int):
         self.at = [m.span() for m in _PIECE.finditer(text, start, end)]
-        before = text[max(0, start - 40):start].lower()
         self.spans, rows = [], []
         for i, (a, _) in enumerate(self.at):
-            near = (before + text[start:a].lower())[-32:]
-            cues = [float(p.search(near) is not None) for _, p in CUES]
-            for j in range(i, min(i + MAX_PIECES, len(self.at))):
-                self.spans.append((i, j + 1))
-                rows.append(_features(text, a, self.at[j][1], cues))
+            ends = [b for _, b in self.at[i:i + MAX_PIECES]]
+            rows += _candidates(text, a, ends)
+            self.spans += [(i, i + k) for k in range(1, len(ends) + 1)]
         self.x = np.array(rows).reshape(-1, FEATURES)
         self.single = np.array([j - i == 1 for i, j in self.spans], bool)
 
@@ -138,22 +182,6 @@ class Lattice:
         s[~self.single, 0] = -1e9
         return s
 
-    def best(self, w: np.ndarray) -> list[tuple[str, int, int]]:
-        """Entities of the best segmentation."""
-        s = self.scores(w)
-        kind, value = s.argmax(axis=1), s.max(axis=1)
-        total, back = [0.0] + [-np.inf] * len(self.at), [None] * (len(self.at) + 1)
-        for k, (i, j) in enumerate(self.spans):  # by start, so total[i] is final
-            if total[i] + value[k] > total[j]:
-                total[j], back[j] = total[i] + value[k], k
-        out, j = [], len(self.at)
-        while j:
-            i, _ = self.spans[back[j]]
-            if kind[back[j]]:
-                out.append((KINDS[kind[back[j]] - 1], self.at[i][0], self.at[j - 1][1]))
-            j = i
-        return out[::-1]
-
     def gradient(self, w: np.ndarray, gold: dict[tuple[int, int], int]) -> np.ndarray:
         """Of the log likelihood of ``gold``: observed minus expected features."""
         s, n = self.scores(w), len(self.at)
@@ -273,11 +301,18 @@ def find(text: str | None, w: np.ndarray) -> tuple[list[tuple[str, int, int]], l
     if not text or not _SIGN.search(text):
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # of the union of the base spans
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     added = []
     for start, end in stretches(text):
-        for kind, a, b in Lattice(text, start, end).best(w):
-            if not any(x < b and a < y for x, y in taken if x < end and start < y):
+        for kind, a, b in best_entities(text, start, end, w):
+            k = bisect_right(ends, a)
+            if k == len(ends) or starts[k] >= b:
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -39,6 +40,37 @@ def test_long_runs_are_fast():
         P.find(x, np.frombuffer(P.fitted()).reshape(P.FEATURES, -1)) if len(set(x)) > 2 else P.base_spans(x)
 
 
+def test_find_reads_long_runs_whole_in_bounded_memory():
+    w, rnd, last = np.frombuffer(P.fitted()).reshape(P.FEATURES, -1), random.Random(5), "\nssn 123-45-6789\n"
+    table = "".join(f"{rnd.randint(0, 10 ** rnd.randint(1, 6))}{rnd.choice(' ,.:|')}" for _ in range(3000))
+    for x in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "a@" * 100_000, "+" * 200_000, "1 " * 100_000, table):
+        assert ("id", len(x) + 5, len(x) + 16) in P.find(x + last, w)[1], x[:9]
+    tracemalloc.start()
+    P.find("1." * 5_000, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+def test_best_segmentation_equals_the_whole_lattice():
+    w, rnd = np.frombuffer(P.fitted()).reshape(P.FEATURES, -1), random.Random(6)
+    for _ in range(40):
+        text = " ".join(P._sentence(rnd)[0] for _ in range(2)) + "".join(rnd.choices("0123456789.@ +-ab()\n", k=300))
+        for start, end in P.stretches(text):
+            lattice = P.Lattice(text, start, end)
+            s = lattice.scores(w)
+            total, back = [0.0] + [-np.inf] * len(lattice.at), {}
+            for k, (i, j) in enumerate(lattice.spans):
+                if total[i] + s[k].max() > total[j]:
+                    total[j], back[j] = total[i] + s[k].max(), (i, s[k].argmax())
+            want, j = [], len(lattice.at)
+            while j:
+                i, kind = back[j]
+                want += [(P.KINDS[kind - 1], lattice.at[i][0], lattice.at[j - 1][1])] if kind else []
+                j = i
+            assert P.best_entities(text, start, end, w) == want[::-1]
+
+
 def test_entities_of_unseen_sentences():
     w, rnd, hit, extra, missed = np.frombuffer(P.fitted()).reshape(P.FEATURES, -1), random.Random(77), 0, 0, 0
     for _ in range(300):
