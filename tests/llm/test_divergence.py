@@ -70,3 +70,23 @@ def test_a_text_in_two_languages_is_no_outlier(spark):
     rows += [(100, prose("en", 150) + " " + prose("fr", 150), "en"), (101, " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)), "en")]
     got = {r.doc_id: r for r in V.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[100].kept and not got[101].kept and all(got[i].kept and got[i].nearest == rows[i][2] for i in range(60))
+
+
+def test_rare_and_unlisted_languages_do_not_switch_the_word_rule_off(spark):
+    import random
+    rnd = random.Random(2)
+    common = {"en": V.COMMON["en"].split(), "fi": "ja on ei se oli että hän joka mutta kun niin kuin ovat myös".split()}
+
+    def word():
+        return "".join(rnd.choices("abcdefgh", k=rnd.randint(4, 7)))
+
+    def prose(lang, n):
+        return " ".join(rnd.choice(common[lang]) if lang in common and rnd.random() < 0.4 else word() for _ in range(n))
+
+    rows = [(i, prose("en", 300), "en") for i in range(40)] + [(100 + i, prose("fi", 300), "fi") for i in range(20)]
+    rows += [(200 + i, prose("tr", 300), "tr") for i in range(3)] + [(300 + i, " ".join("".join(rnd.choices("的一是不了人我在有他", k=12)) for _ in range(60)), "zh") for i in range(12)]
+    junk = [(400, prose("", 600), "en"), (401, prose("", 600), "fi"), (402, prose("", 600), None)]
+    got = {r.doc_id: r for r in V.quality_rules(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[i].kept for i, *_ in junk)
+    assert all(got[i].kept and got[i].nearest == lang for i, _, lang in rows)
+    assert all((got[i].word_distance == 0) == (lang in ("tr", "zh")) for i, _, lang in rows)
