@@ -22,6 +22,10 @@ from ..session import ensure_checkpoint_dir
 from ..sources.files import current, publish
 
 FEED_PARTS = 4
+FILE_ROWS = 1_000_000  # of the feed; a micro-batch reads one file
+LATENESS_DAYS = 10
+# Two neighbouring stretches fit the lateness, so even files of one modification time may be swapped.
+STRETCH_US = LATENESS_DAYS * 86_400_000_000 // 2 - 1_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -30,15 +34,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def feed(spark: SparkSession, sf_dir: str, parts: int = FEED_PARTS) -> str:
-    """The events table written as a feed: ``parts`` consecutive stretches of time, one
-    after the other, so that a file source reads them in that order."""
-    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "feed")
+    """The events table written as a feed: at least ``parts`` consecutive stretches of
+    time, each no longer than ``STRETCH_US``, one after the other, so that a file source
+    reads them in that order. Files of one stretch come in any order, and stay within the
+    streams' lateness however long the events last."""
+    events, path, staged = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "feed"), scratch(spark, "stretches")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     span = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     lo, hi = span.lo or 0, span.hi or 0
-    part = F.least(F.floor((at - lo) * F.lit(parts) / F.lit(hi - lo + 1)), F.lit(parts - 1))
-    for i in range(parts):
-        events.where(F.coalesce(part, F.lit(0)) == i).write.mode("append").parquet(path)
+    width = max(1, min(-(-(hi - lo + 1) // parts), STRETCH_US))
+    stretch = F.coalesce(F.floor((at - lo) / F.lit(width)), F.lit(0)).cast("long")
+    dealt = events.withColumn("feed_stretch", stretch)
+    dealt.repartitionByRange("feed_stretch", "ts").write.partitionBy("feed_stretch").parquet(staged)
+    events.limit(0).write.parquet(path)
+    for r in spark.read.schema(dealt.schema).parquet(staged).groupBy("feed_stretch").count().orderBy("feed_stretch").collect():  # stretches with events
+        rows = spark.read.schema(events.schema).parquet(f"{staged}/feed_stretch={r.feed_stretch}")
+        rows.coalesce(-(-r["count"] // FILE_ROWS)).write.mode("append").parquet(path)
     return path
 
 
@@ -83,7 +94,7 @@ def running_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_
 
 
 def windowed_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, window: str = "1 day",
-                      lateness: str = "10 days") -> DataFrame:
+                      lateness: str = f"{LATENESS_DAYS} days") -> DataFrame:
     """Per tumbling event-time window and arm, with a lateness bound. Update mode:
     every change of a window is merged into the table, so windows that are still open
     are there too."""
@@ -128,7 +139,7 @@ def dedup_lessons(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir
 
 
 def span_pairing(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, timeout_s: int = 300,
-                 lateness: str = "10 days") -> DataFrame:
+                 lateness: str = f"{LATENESS_DAYS} days") -> DataFrame:
     """Join span-open and span-close events into durations with a stream–stream
     left outer join; opens without a close inside ``timeout_s`` are failed once the
     watermark passes. Opens that the watermark has not passed when the feed ends are

@@ -33,3 +33,24 @@ def test_stream_running_accuracy_equals_batch(spark, t):
     batch = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"),
                                                F.round(F.lit(100.0) * F.avg((F.col("value") >= 30).cast("double")), 4).alias("a"))
     assert got == {r.event_type: (r.n, r.a) for r in batch.collect()}
+
+
+def test_streams_of_90_unsorted_days_equal_batch(spark, tmp_path):
+    # Eight files, each with the events of one time of day over all days.
+    n, day = 8 * 90, 86_400_000_000
+    events = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("id") * 37 % 90) * day + (F.col("id") / 90).cast("long") * (day // 9)).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 20).alias("user_id"), F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("event_type"), (F.col("id") % 400).cast("double").alias("value"),
+        F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    windows = {(r.day, r.arm): (r.attempts, r.ok) for r in ST.windowed_accuracy(spark, ST.feed(spark, str(tmp_path)), ST.scratch(spark, "ck"), ST.scratch(spark, "win")).collect()}
+    batch = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 30).alias("ok"))
+    assert windows == {(r.day, r.event_type): (r.n, r.ok) for r in batch.collect()}
+    spans = ST.span_pairing(spark, ST.feed(spark, str(tmp_path)), ST.scratch(spark, "ck"), ST.scratch(spark, "spans")).collect()
+    assert sorted((r.span_id, r.status) for r in spans) == [(i, "ok" if i % 400 < 300 else "failed") for i in range(n)]
+
+
+def test_feed_of_no_events(spark, tmp_path):
+    spark.read.parquet(f"{SF001}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert spark.read.parquet(ST.feed(spark, str(tmp_path))).count() == 0
