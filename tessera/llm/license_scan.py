@@ -3,8 +3,8 @@
 Templates are phrases of licence words with their key phrases. Document frequencies
 of the templates' words are counted over all documents; each template is indexed by
 its words of highest IDF. A file's occurrences of those words are looked up; a
-posting gives the template's start relative to the occurrence, and occurrences that
-agree on the start are intersected. A template stands at a start if all its key
+posting gives the template's start relative to the occurrence. Postings are not
+intersected: every start is verified by itself, equal finds are merged. A template stands at a start if all its key
 phrases verify there word by word; its score is the IDF share of its words that
 stand in place.
 
