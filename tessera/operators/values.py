@@ -1,21 +1,23 @@
 """VAL — stored values behind empty results, and reference linting.
 
 Similarity is ``1 − levenshtein(a, b) / max(len a, len b)`` (JVM built-in, the
-all-builtin default). Candidates are needle × stored value of the *same column*: needles are
-a small table (literals of a query log) broadcast behind a row bound, so the
-dictionary is never shuffled for the join. Top-k per needle runs in two
+all-builtin default). Candidates are stored values of the needle's *column*, found by
+the q-grams that they must share (``qgrams``); needles are a small table (literals of
+a query log) broadcast behind a row bound, so the dictionary is never shuffled for the
+join. Top-k per needle runs in two
 stages (per needle and value-hash salt, then per needle), so a needle with
 very many candidates is ranked by many tasks.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import bounded
+from . import qgrams
 
 # The reference's cutoffs and list lengths.
 MAX_VALUES = 12
@@ -57,16 +59,16 @@ def closest(needles: DataFrame, dictionary: DataFrame, n: int = MAX_VALUES, cuto
     """Per needle: stored values with similarity ≥ ``cutoff`` first (best first),
     then the remaining values (smallest first), ``n`` in all.
 
-    Only values whose length allows the cutoff are scored (similarity cannot exceed the
-    ratio of the lengths). Of the remaining values a needle needs fewer than ``n``, and
-    fewer than ``n`` are close if it needs any, so the ``2 n`` smallest of the column
-    hold them all."""
+    Only values that the cutoff allows by length and shared q-grams are scored. Of the
+    remaining values a needle needs fewer than ``n``, and fewer than ``n`` are close if it
+    needs any, so the ``2 n`` smallest of the column hold them all."""
     d = dictionary.select("table_name", "column_name", "value")
-    few = bounded(needles)
-    shorter, longer = F.least(F.length("literal"), F.length("value")), F.greatest(F.length("literal"), F.length("value"))
     score = similarity(F.col("literal"), F.col("value"))
-    near = d.join(few, ["table_name", "column_name"]).where(shorter >= F.lit(cutoff) * longer - F.lit(1e-9)).withColumn("score", score).where(F.col("score") >= cutoff)
-    near = _top_k(near, "needle_id", [F.desc("score"), F.col("value")], n)
+
+    def best(scored: DataFrame) -> DataFrame:
+        return _top_k(scored, "needle_id", [F.desc("score"), F.col("value")], n)
+
+    near = best(qgrams.near(needles, d, score, cutoff, best, n))
     column = F.concat_ws(".", "table_name", "column_name")
     least = _top_k(d.withColumn("_column", column), "_column", [F.col("value")], 2 * n).drop("rank", "_column")
     rest = needles.join(least, ["table_name", "column_name"]).withColumn("score", score).where(F.col("score") < cutoff)
@@ -150,7 +152,12 @@ def closest_identifier(problems: DataFrame, refs: DataFrame, catalog: DataFrame,
         .select("query_id", F.col("name").alias("s_table"))
     n_scope = scope.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     cols = catalog.select(F.col("table_name").alias("c_table"), F.col("column_name").alias("cand"))
-    t_probs = problems.where(F.col("problem") == "unknown table").crossJoin(bounded(tabs, 10_000))  # the catalog's table names
+    # Names within the cutoff are in the same length band (a band spans one factor of it) or the next.
+    def band(c: str) -> Column:
+        return F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / F.lit(math.log(1 / cutoff)) + F.lit(1e-9))
+
+    unknown = problems.where(F.col("problem") == "unknown table").withColumn("_band", F.explode(F.sequence(band("name") - 1, band("name") + 1)))
+    t_probs = unknown.join(tabs.withColumn("_band", band("cand")), "_band").drop("_band")
     c_on_table = (problems.where((F.col("problem") == "unknown column") & (F.col("detail") != "in scope"))
                   .join(cols, F.col("detail") == F.col("c_table")).drop("c_table"))
     unq = problems.where((F.col("problem") == "unknown column") & (F.col("detail") == "in scope"))

@@ -15,6 +15,9 @@ from .keys_pro import COLUMNS
 from .registry import register
 
 
+BOOK_RUNS = 400
+
+
 def lit(s):
     return "'" + s + "'"
 
@@ -65,23 +68,26 @@ def src_runs(spark, d):
 SELECT arm, question_id, db_id, difficulty, correct, draft_correct, CAST(calls AS INTEGER) AS calls, round(seconds, 4) AS seconds,
        repaired, array_to_string(agents, ',') AS agents, '' AS sql, '' AS draft_sql, 'recovered from notebook output' AS reason FROM runs""")
 def src_notebook_rows(spark, d):
-    """Notebooks written from the runs, one per question group, and recovered."""
+    """Notebooks written from the runs, a bounded number in each, and recovered. The
+    printed SQL holds brackets, commas, quotes and fields of its own."""
     runs = D.runs(tables(spark, d).events)
+    books = -(-runs.count() // BOOK_RUNS) or 1
     flag = lambda c: F.when(F.col(c), "True").otherwise("False")
     printed = F.concat(F.lit("('"), "arm", F.lit("', "), F.col("question_id").cast("string"), F.lit("): Row(strategy='"), "arm", F.lit("', question_id="),
                        F.col("question_id").cast("string"), F.lit(", db_id='"), "db_id", F.lit("', difficulty='"), "difficulty", F.lit("', correct="), flag("correct"),
                        F.lit(", draft_correct="), flag("draft_correct"), F.lit(", calls="), F.col("calls").cast("string"), F.lit(", seconds="),
-                       F.format_string("%.6f", F.col("seconds")), F.lit(", repaired="), flag("repaired"), F.lit(", agents=['"), F.array_join("agents", "', '"), F.lit("'])"))
-    cell = runs.select("arm", "question_id", printed.alias("row")).groupBy((F.col("question_id") % 64).alias("book"), "arm").agg(
+                       F.format_string("%.6f", F.col("seconds")), F.lit(", repaired="), flag("repaired"), F.lit(", agents=['"), F.array_join("agents", "', '"), F.lit("'], sql=\"SELECT f(x), 'a' FROM Row(correct=None), t\")"))
+    book = F.pmod(F.xxhash64("arm", "question_id"), F.lit(books))
+    cell = runs.select("arm", "question_id", printed.alias("row")).groupBy(book.alias("book"), "arm").agg(
         F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("row")), ",\n "), F.lit("}")).alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit("\n")))
     shown = F.struct(F.lit("code").alias("cell_type"), F.array(
         F.struct(F.lit("stream").alias("output_type"), F.struct(F.array(F.lit("Row(strategy='no'),")).alias("text/plain")).alias("data")),
         F.struct(F.lit("execute_result").alias("output_type"), F.struct(lines.alias("text/plain")).alias("data"))).alias("outputs"))
-    books = cell.groupBy("book").agg(F.to_json(F.struct(F.collect_list(shown).alias("cells"))).alias("value"))
+    written = cell.groupBy("book").agg(F.to_json(F.struct(F.collect_list(shown).alias("cells"))).alias("value"))
     path = scratch(spark, "notebooks")
-    books.repartition(64, "book").write.partitionBy("book").option("lineSep", "\n").text(path)
-    return FS.recover_rows(spark, path).withColumns({"seconds": F.round("seconds", 4), "agents": F.array_join("agents", ",")})
+    written.repartition("book").write.partitionBy("book").option("lineSep", "\n").text(path)
+    return FS.recover_rows(spark, path).withColumns({"seconds": F.round("seconds", 4), "agents": F.array_join("agents", ",")}).drop("complete")
 
 
 @register("src_lessons", """

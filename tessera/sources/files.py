@@ -4,12 +4,14 @@ columns load with defaults (additive schema evolution)."""
 
 from __future__ import annotations
 
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import printed
+from .versions import current, publish, update, write_with_backup  # noqa: F401  (the library's writers, here for its users)
+
 QUESTION_SCHEMA = T.StructType([
     T.StructField("question_id", T.StringType()), T.StructField("db_id", T.StringType()),
     T.StructField("question", T.StringType()), T.StructField("evidence", T.StringType()),
@@ -53,54 +55,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _pointers(spark: SparkSession, path: str) -> list[int]:
-    fs, p = _at(spark, f"{path}/_pointers")
-    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
-
-
-def _pointed(spark: SparkSession, path: str, n: int) -> str:
-    fs, p = _at(spark, f"{path}/_pointers/{n:012d}")
-    stream = fs.open(p)
-    try:
-        return f"{path}/versions/{stream.readUTF()}"
-    finally:
-        stream.close()
-
-
-def current(spark: SparkSession, path: str) -> str | None:
-    """Folder of the published version of a versioned table, None if there is none."""
-    known = _pointers(spark, path)
-    return _pointed(spark, path, known[-1]) if known else None
-
-
-def publish(df: DataFrame, path: str, fmt: str) -> str:
-    """Replace a versioned table: the rows go to a folder of their own, then one new
-    pointer file, created exclusively, switches readers over. A crash before that
-    leaves the published version as it was; of concurrent writers each gets a pointer
-    of its own and the last one counts. Versions older than the previous are removed."""
-    spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.format(fmt).save(f"{path}/versions/{version}")
-    while True:
-        n = (_pointers(spark, path) or [0])[-1] + 1
-        fs, p = _at(spark, f"{path}/_pointers/{n:012d}")
-        try:
-            stream = fs.create(p, False)
-        except Exception:
-            if fs.exists(p):
-                continue  # another writer took this number
-            raise
-        stream.writeUTF(version)
-        stream.close()
-        break
-    for old in _pointers(spark, path)[:-2]:
-        folder = _pointed(spark, path, old)
-        for gone in (folder, f"{path}/_pointers/{old:012d}"):
-            fs, p = _at(spark, gone)
-            if not fs.delete(p, True) and fs.exists(p):
-                raise OSError(f"could not remove {gone}")
-    return f"{path}/versions/{version}"
-
-
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """Missing file → empty frame; corrupt lines dropped (PERMISSIVE); columns
     added later default; duplicate (arm, question) → the last write wins: the latest
@@ -149,17 +103,18 @@ def discover_tables(spark: SparkSession, root: str, suffix: str = ".parquet") ->
     return sorted(found.items())
 
 
-def save_runs(df: DataFrame, path: str) -> None:
-    """Replace the run log in one switch (see :func:`publish`)."""
-    publish(df, path, "json")
+def save_runs(df: DataFrame, path: str, base: int | None = None) -> None:
+    """Replace the run log in one switch; with ``base`` only if it still is the version
+    that ``df`` was built on (see :mod:`versions`)."""
+    publish(df, path, "json", base)
 
 
-def write_with_backup(df: DataFrame, path: str, backup: str) -> None:
-    """Keep the data as it was before the first change, once, then replace it."""
-    spark = df.sparkSession
-    if (now := current(spark, path)) and not current(spark, backup):
-        publish(spark.read.parquet(now), backup, "parquet")
-    publish(df, path, "parquet")
+def add_runs(df: DataFrame, path: str) -> None:
+    """Fold runs into the log: one row per (arm, question), the new one if there is one.
+    Rows that another writer adds meanwhile are kept."""
+    key = ["arm", "question_id"]
+    update(df.sparkSession, path, "json",
+           lambda now: df if now is None else now.join(df.select(*key).distinct(), key, "left_anti").unionByName(df, allowMissingColumns=True))
 
 
 def write_cache(df: DataFrame, path: str) -> None:
@@ -167,44 +122,50 @@ def write_cache(df: DataFrame, path: str) -> None:
     df.withColumn("shard", F.substring("key", 1, 2)).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-# The printed form of a run row and the text of what it cannot hold.
-ROW_END = r"\)(?=[,}])"
-RECOVERED = "recovered from notebook output"
+RECOVERED = "recovered from notebook output"  # fixed value
 NOTEBOOK_SCHEMA = ("cells array<struct<cell_type:string, outputs:array<struct<output_type:string, "
                    "data:struct<`text/plain`:array<string>>>>>>")
+_PRINTED = {"db_id": "", "difficulty": "", "correct": False, "draft_correct": False, "calls": 0, "seconds": 0.0, "repaired": False, "agents": ()}
+_PRINTED_SCHEMA = ("file string, cell int, output int, at int, arm string, question_id long, db_id string, difficulty string, correct boolean, draft_correct boolean, "
+                   "calls int, seconds double, repaired boolean, agents array<string>, complete boolean")
+
+
+def _like(value, default):
+    """A printed value of the default's kind, else the default."""
+    if isinstance(default, tuple):
+        return [str(x) for x in value] if isinstance(value, list) else []
+    if isinstance(default, bool) or isinstance(default, str):
+        return value if type(value) is type(default) else default
+    return type(default)(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else default
 
 
 def recover_rows(spark: SparkSession, path: str) -> DataFrame:
     """Run rows from the outputs of executed notebooks (JSON, one per file): every
-    ``Row(...)`` printed by a cell's final expression, its fields by name. Rows without
-    an arm or id are skipped; of several rows of an (arm, question) in a notebook the
-    last counts, then the lexically last notebook. The SQL texts are not recoverable
-    (the printed form cuts them) and are ''. A row ends at the first ``)`` before a
-    comma or brace, also inside a quoted text, as the printed form gives no other mark."""
-    books = (spark.read.schema(NOTEBOOK_SCHEMA).option("multiLine", True).json(path)
-             .select(F.col("_metadata.file_path").alias("file"), "cells"))
+    ``Row(...)`` that a cell's final expression printed (:mod:`printed`). Rows without an
+    arm or id are skipped; of several rows of an (arm, question) in a notebook the last
+    counts, then the lexically last notebook. Fields that a cut row has lost have their
+    defaults and ``complete`` is false. The SQL texts may be cut in print and are ''."""
+    books = spark.read.schema(NOTEBOOK_SCHEMA).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), "cells")
     outputs = (books.select("file", F.posexplode("cells").alias("cell", "c"))
-               .select("file", "cell", F.posexplode("c.outputs").alias("output", "o"))
-               .where(F.col("o.output_type") == "execute_result"))
-    text = F.array_join(F.col("o.data").getField("text/plain"), "")
-    bodies = outputs.select("file", "cell", "output", F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)Row\((.*?)" + ROW_END), 1)).alias("at", "body"))
-
-    def field(pattern: str):
-        return F.nullif(F.regexp_extract("body", pattern, 0), F.lit("")), F.regexp_extract("body", pattern, 1)
-
-    def value(pattern: str, default):
-        whole, part = field(pattern)
-        return F.when(whole.isNull(), F.lit(default)).otherwise(part)
-
-    agents = F.filter(F.transform(F.split(value(r"agents=\[([^\]]*)\]", ""), ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")), lambda x: x != "")
-    rows = bodies.select(
-        value(r"strategy='([^']*)'", "").alias("arm"), value(r"question_id=([0-9]+)", None).cast("long").alias("question_id"),
-        value(r"db_id='([^']*)'", "").alias("db_id"), value(r"difficulty='([^']*)'", "").alias("difficulty"),
-        (value(r"(?<![a-z_])correct=(True|False)", "") == "True").alias("correct"), (value(r"draft_correct=(True|False)", "") == "True").alias("draft_correct"),
-        value(r"calls=([0-9]+)", "0").cast("int").alias("calls"), value(r"seconds=([0-9.]+)", "0").cast("double").alias("seconds"),
-        (value(r"repaired=(True|False)", "") == "True").alias("repaired"), agents.alias("agents"),
-        F.struct("file", "cell", "output", "at").alias("_place")).where((F.col("arm") != "") & F.col("question_id").isNotNull())
-    cols = [c for c in rows.columns if c not in ("arm", "question_id", "_place")]
+               .select("file", "cell", F.posexplode("c.outputs").alias("output", "o")).where(F.col("o.output_type") == "execute_result")
+               .select("file", "cell", "output", F.array_join(F.col("o.data").getField("text/plain"), "").alias("text")))
+
+    def scan(batches):
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                for at, (x, complete) in enumerate(printed.rows(r["text"] or "")):
+                    arm, qid = x.get("strategy"), x.get("question_id")
+                    if isinstance(arm, str) and arm and type(qid) is int:
+                        found.append({"file": r["file"], "cell": r["cell"], "output": r["output"], "at": at, "arm": arm, "question_id": qid, "complete": complete}
+                                     | {c: _like(x.get(c, d), d) for c, d in _PRINTED.items()})
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    arrow = pa.schema([("file", pa.string()), *[(c, pa.int32()) for c in ("cell", "output", "at")], ("arm", pa.string()), ("question_id", pa.int64()), ("db_id", pa.string()),
+                       ("difficulty", pa.string()), ("correct", pa.bool_()), ("draft_correct", pa.bool_()), ("calls", pa.int32()), ("seconds", pa.float64()),
+                       ("repaired", pa.bool_()), ("agents", pa.list_(pa.string())), ("complete", pa.bool_())])
+    rows = outputs.mapInArrow(scan, _PRINTED_SCHEMA).withColumn("_place", F.struct("file", "cell", "output", "at"))
+    cols = [*_PRINTED, "complete"]
     last = rows.groupBy("arm", "question_id").agg(F.max_by(F.struct(*cols), "_place").alias("r"))
     return last.select("arm", "question_id", *[F.col(f"r.{c}").alias(c) for c in cols],
                        F.lit("").alias("sql"), F.lit("").alias("draft_sql"), F.lit(RECOVERED).alias("reason"))

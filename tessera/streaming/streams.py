@@ -5,8 +5,13 @@ keys replay the events table as such a feed, in time order and several files, so
 is carried over several micro-batches. Event time is cast to TIMESTAMP (Spark refuses
 TIMESTAMP_NTZ as a watermark column). Every query takes a checkpoint location, so a
 restarted query resumes where it stopped; ``trigger(availableNow=True)`` drains what
-is there and stops. Results are written as tables (a Parquet sink, or ``foreachBatch``
-into a versioned table that one pointer switches), never kept in the driver.
+is there and stops. Results are written as tables, never kept in the driver: a Parquet
+sink for what is final, a keyed table (``sources.keyed``) for what changes, a versioned
+table for the few rows of a complete result.
+
+A feed ends with a heartbeat: a row without an event, later than all events by more than
+any lateness, as an idle source would send. It moves the watermark on, so windows,
+sessions and spans that are open at the end are closed by the stream itself.
 """
 
 from __future__ import annotations
@@ -17,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line
-from ..operators.attempts import latest_per_key
 from ..session import ensure_checkpoint_dir
-from ..sources.files import current, publish
+from ..sources.keyed import KeyedTable
+from ..sources.versions import current, publish
+from .spans import GROUPS, SPAN_SCHEMA, SpanStates
 
 FEED_PARTS = 4
 FILE_ROWS = 1_000_000  # of the feed; a micro-batch reads one file
@@ -50,13 +56,26 @@ def feed(spark: SparkSession, sf_dir: str, parts: int = FEED_PARTS) -> str:
     for r in spark.read.schema(dealt.schema).parquet(staged).groupBy("feed_stretch").count().orderBy("feed_stretch").collect():  # stretches with events
         rows = spark.read.schema(events.schema).parquet(f"{staged}/feed_stretch={r.feed_stretch}")
         rows.coalesce(-(-r["count"] // FILE_ROWS)).write.mode("append").parquet(path)
+    heartbeat(events, path)
     return path
 
 
-def events_stream(spark: SparkSession, feed_dir: str, max_files: int = 1) -> DataFrame:
+def heartbeat(events: DataFrame, feed_dir: str) -> None:
+    """Append a row that has no event, only a time after all lateness and timeouts."""
+    last = events.agg((F.max("ts") + F.make_interval(days=F.lit(2 * LATENESS_DAYS))).alias("ts")).where("ts IS NOT NULL")
+    none = [F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    last.select(*none).coalesce(1).write.mode("append").parquet(feed_dir)
+
+
+def events_stream(spark: SparkSession, feed_dir: str, max_files: int = 1, lateness: str | None = None) -> DataFrame:
+    """The feed's events; with ``lateness`` under a watermark, which heartbeats move."""
     schema = spark.read.parquet(feed_dir).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(feed_dir)
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(feed_dir)
+         .withColumn("ts", F.col("ts").cast("timestamp")))
+    if lateness is None:
+        return s.where("event_id IS NOT NULL")
+    # the condition names ts, so that it is not moved below the watermark, which would miss the heartbeats
+    return s.withWatermark("ts", lateness).where("event_id IS NOT NULL OR ts IS NULL")
 
 
 def _run(df: DataFrame, mode: str, checkpoint: str, each) -> None:
@@ -71,18 +90,14 @@ def _append(df: DataFrame, checkpoint: str, table_dir: str) -> None:
     q.awaitTermination()
 
 
-def _merge(batch: DataFrame, table_dir: str, keys: list[str], order: list[str], values: list[str]) -> None:
-    """Fold a micro-batch into a keyed table: one row per key, the latest by ``order``.
-    The same batch again gives the same table."""
-    spark = batch.sparkSession
-    rows = batch.select(*keys, *values)
-    if now := current(spark, table_dir):
-        rows = spark.read.parquet(now).unionByName(rows)
-    publish(latest_per_key(rows, keys, order, values), table_dir, "parquet")
+def _upsert(df: DataFrame, mode: str, checkpoint: str, table: KeyedTable) -> DataFrame:
+    """Run a stream into a keyed table, each epoch once, and return the table's rows."""
+    def each(batch: DataFrame, epoch: int) -> None:
+        table.upsert(batch, checkpoint, epoch)
+        table.compact()
 
-
-def _table(spark: SparkSession, table_dir: str) -> DataFrame:
-    return spark.read.parquet(current(spark, table_dir))
+    _run(df, mode, checkpoint, each)
+    return table.rows()
 
 
 def running_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
@@ -90,7 +105,7 @@ def running_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_
     agg = events_stream(spark, feed_dir).groupBy(F.col("event_type").alias("arm")).agg(
         F.count(F.lit(1)).alias("attempts"), F.round(F.lit(100.0) * F.avg((F.col("value") >= 30).cast("double")), 4).alias("acc"))
     _run(agg, "complete", checkpoint, lambda batch, epoch: publish(batch, table_dir, "parquet"))
-    return _table(spark, table_dir)
+    return spark.read.parquet(current(spark, table_dir))
 
 
 def windowed_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, window: str = "1 day",
@@ -98,32 +113,32 @@ def windowed_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table
     """Per tumbling event-time window and arm, with a lateness bound. Update mode:
     every change of a window is merged into the table, so windows that are still open
     are there too."""
-    s = events_stream(spark, feed_dir).withWatermark("ts", lateness)
+    s = events_stream(spark, feed_dir, lateness=lateness)
     agg = s.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("arm")).agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") >= 30).alias("ok"))
     rows = agg.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "arm", "attempts", "ok")
-    _run(rows, "update", checkpoint, lambda batch, epoch: _merge(batch, table_dir, ["day", "arm"], ["attempts"], ["attempts", "ok"]))
-    return _table(spark, table_dir)
+    return _upsert(rows, "update", checkpoint, KeyedTable(spark, table_dir, ["day", "arm"], ["attempts"], ["attempts", "ok"]))
 
 
-def session_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, gap: str = "12 hours") -> DataFrame:
-    """Per question and session: attempts no more than ``gap`` apart (complete mode)."""
-    s = events_stream(spark, feed_dir)
+def session_accuracy(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, gap: str = "12 hours",
+                     lateness: str = f"{LATENESS_DAYS} days") -> DataFrame:
+    """Per question and session: attempts no more than ``gap`` apart. A session is appended
+    once, when the watermark has passed its end, and its state is dropped."""
+    s = events_stream(spark, feed_dir, lateness=lateness)
     agg = s.groupBy(F.session_window("ts", gap).alias("w"), F.col("user_id").alias("question_id")).agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("value") >= 30).alias("ok"))
     rows = agg.select("question_id", F.unix_micros("w.start").alias("start_us"), "attempts", "ok")
-    _run(rows, "complete", checkpoint, lambda batch, epoch: publish(batch, table_dir, "parquet"))
-    return _table(spark, table_dir)
+    _append(rows, checkpoint, table_dir)
+    return spark.read.schema(rows.schema).parquet(table_dir)
 
 
 def upsert_runs(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
-    """Last-write-wins run table: each micro-batch is folded into the keyed table, which
-    holds one row per (arm, question) and keeps no earlier epoch's rows."""
+    """Last-write-wins run table: what a micro-batch changes is written as a delta of the
+    keyed table, whatever the table holds already."""
     s = events_stream(spark, feed_dir).select(F.col("event_type").alias("arm"), F.col("user_id").alias("question_id"),
                                               "ts", "event_id", (F.col("value") >= 30).alias("correct"))
-    _run(s, "append", checkpoint, lambda batch, epoch: _merge(
-        batch, table_dir, ["arm", "question_id"], ["ts", "event_id"], ["ts", "event_id", "correct"]))
-    return _table(spark, table_dir).select("arm", "question_id", "event_id", "correct")
+    table = KeyedTable(spark, table_dir, ["arm", "question_id"], ["ts", "event_id"], ["correct"])
+    return _upsert(s, "append", checkpoint, table).select("arm", "question_id", "event_id", "correct")
 
 
 def dedup_lessons(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str) -> DataFrame:
@@ -138,24 +153,33 @@ def dedup_lessons(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir
     return spark.read.parquet(table_dir)
 
 
+def span_events(spark: SparkSession, feed_dir: str, timeout_s: int = 300, lateness: str = f"{LATENESS_DAYS} days") -> DataFrame:
+    """``span_id, event_type, us`` (when) and ``closes`` of the feed's span events: every
+    event opens a span, and one of a value under the timeout closes it so much later."""
+    s = events_stream(spark, feed_dir, lateness=lateness)
+    opened = F.struct(F.unix_micros("ts").alias("us"), F.lit(False).alias("closes"))
+    closed = F.struct(F.unix_micros(F.col("ts") + F.make_interval(secs=F.col("value"))).alias("us"), F.lit(True).alias("closes"))
+    both = F.when(F.col("value") < timeout_s, F.array(opened, closed)).otherwise(F.array(opened))
+    return s.select("ts", F.col("event_id").alias("span_id"), "event_type", F.explode(both).alias("e")).select("ts", "span_id", "event_type", "e.us", "e.closes")
+
+
+def pair_spans(events: DataFrame, checkpoint: str, table_dir: str, timeout_s: int = 300) -> DataFrame:
+    """Spans from a watermarked stream of ``span_events``, a state machine for each
+    (:class:`spans.SpanStates`), appended to a table as they close or expire."""
+    spark, conf = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    grouped = events.withColumn("span_group", F.pmod(F.xxhash64("span_id"), F.lit(GROUPS)))
+    out = grouped.groupBy("span_group").transformWithStateInPandas(SpanStates(timeout_s), SPAN_SCHEMA, "append", "eventTime")
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _append(out, checkpoint, table_dir)
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
+    return spark.read.schema(SPAN_SCHEMA).parquet(table_dir)
+
+
 def span_pairing(spark: SparkSession, feed_dir: str, checkpoint: str, table_dir: str, timeout_s: int = 300,
                  lateness: str = f"{LATENESS_DAYS} days") -> DataFrame:
-    """Join span-open and span-close events into durations with a stream–stream
-    left outer join; opens without a close inside ``timeout_s`` are failed once the
-    watermark passes. Opens that the watermark has not passed when the feed ends are
-    failed then, from the feed itself."""
-    s = events_stream(spark, feed_dir)
-    opens = s.select(F.col("event_id").alias("span_id"), F.col("ts").alias("open_ts"), "event_type").withWatermark("open_ts", lateness)
-    closes = (s.where(F.col("value") < timeout_s)
-              .select(F.col("event_id").alias("close_id"),
-                      (F.col("ts") + F.make_interval(secs=F.col("value"))).alias("close_ts"))
-              .withWatermark("close_ts", lateness))
-    cond = (F.col("span_id") == F.col("close_id")) & (F.col("close_ts") >= F.col("open_ts")) & \
-           (F.col("close_ts") <= F.col("open_ts") + F.expr(f"INTERVAL {timeout_s} SECONDS"))
-    out = opens.join(closes, cond, "leftOuter").select(
-        "span_id", "event_type", F.when(F.col("close_ts").isNull(), "failed").otherwise("ok").alias("status"),
-        (F.unix_micros("close_ts") - F.unix_micros("open_ts")).alias("duration_us"))
-    _append(out, checkpoint, table_dir)
-    paired = spark.read.schema(out.schema).parquet(table_dir)
-    rest = spark.read.parquet(feed_dir).select(F.col("event_id").alias("span_id"), "event_type").join(paired.select("span_id"), "span_id", "left_anti")
-    return paired.unionByName(rest.select("span_id", "event_type", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("duration_us")))
+    """Pair span-open and span-close events into durations; a span that is not closed
+    within ``timeout_s`` fails by its timer, inside the stream."""
+    return pair_spans(span_events(spark, feed_dir, timeout_s, lateness), checkpoint, table_dir, timeout_s)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import files as FS
+from tessera.sources import printed
 from tessera.streaming import streams as ST
 
 from .conftest import SF001
@@ -17,7 +18,7 @@ def test_publish_switches_and_cleans(spark, tmp_path):
     path = str(tmp_path / "t")
     assert FS.current(spark, path) is None
     for i in range(4):
-        FS.publish(spark.range(i + 1), path, "parquet")
+        FS.publish(spark.range(i + 1), path, "parquet", retain_s=0)
         assert spark.read.parquet(FS.current(spark, path)).count() == i + 1
     assert len(os.listdir(f"{path}/versions")) == 2
 
@@ -47,13 +48,28 @@ def test_run_log_without_times_takes_the_last_line(spark, tmp_path):
 
 def test_notebook_rows(spark, tmp_path):
     text = ["{('a', 1): Row(strategy='a', question_id=1, db_id='d', difficulty='simple', correct=True, draft_correct=False, calls=2, seconds=1.5, ",
-            "repaired=True, agents=['w', \"c\"], sql='x'),\n ('a', 2): Row(strategy='a', question_id=2, sql='f(x), y', correct=True), ('a', 1): Row(strategy='a', question_id=1, correct=False)}"]
+            "repaired=True, agents=['w', \"c\"], sql='x'),\n ('a', 2): Row(strategy='a', question_id=2, sql=\"f(x), y, Row(correct=False), 'q'\", correct=True, calls=7, ",
+            "seconds=2.5, repaired=True, agents=['w']), ('a', 1): Row(strategy='a', question_id=1, correct=False),\n ('b', 3): Row(strategy='b', question_id=3, calls=4, sql='cut off ...\n",
+            " ('b', 4): Row(strategy='b', question_id=4, correct=True)}"]
     book = {"cells": [{"cell_type": "markdown"}, {"cell_type": "code", "outputs": [
         {"output_type": "stream", "text": ["Row(strategy='z', question_id=9),"]}, {"output_type": "execute_result", "data": {"text/plain": text}}]}]}
     (tmp_path / "n.ipynb").write_text(json.dumps(book, indent=1))
     got = {r.question_id: r for r in FS.recover_rows(spark, str(tmp_path / "n.ipynb")).collect()}
-    assert set(got) == {1, 2} and not got[1].correct and got[1].calls == 0 and got[1].sql == "" and got[1].agents == []
-    assert not got[2].correct  # a row ends at the first "), " even inside its SQL: what follows is lost
+    assert set(got) == {1, 2, 3, 4} and not got[1].correct and got[1].calls == 0 and got[1].sql == "" and got[1].agents == []
+    assert (got[2].correct, got[2].calls, got[2].seconds, got[2].repaired, got[2].agents, got[2].complete) == (True, 7, 2.5, True, ["w"], True)
+    assert got[3].calls == 4 and not got[3].complete and got[4].correct and got[4].complete
+
+
+def test_printed_rows():
+    one = lambda text: printed.rows(text)[0]
+    assert one("Row(a='it\\'s (so), b=2', b=3)") == ({"a": "it's (so), b=2", "b": 3}, True)
+    assert one("Row(a=[1, 'x, y', [None]], b=[], c=-1.5e3, d=None)") == ({"a": [1, "x, y", [None]], "b": [], "c": -1500.0, "d": None}, True)
+    assert one("Row()") == ({}, True) and printed.rows("Rows(a=1) myRow(a=1) Row (a=1) Row(x)") == []
+    assert one("Row(a=1, a=2)") == ({"a": 1}, True)
+    assert printed.rows("Row(a=1, b='cut Row(a=2, b=3)") == [({"a": 1}, False), ({"a": 2, "b": 3}, True)]
+    assert printed.rows("Row(a=1, b=[1, 2) Row(a=2") == [({"a": 1}, False), ({}, False)] or printed.rows("Row(a=1, b=[1, 2)")[0] == ({"a": 1}, False)
+    n = 20_000
+    assert len(printed.rows("Row(a='" * n)) == n
 
 
 def test_streams_run_in_several_batches_and_resume(spark, tmp_path):
