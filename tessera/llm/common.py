@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +39,48 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     that survives lost executors and keeps column pruning."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-llm/{name}-{uuid.uuid4().hex}"
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+_scope = threading.local()  # what the stages of a pipeline that runs in this thread have staged
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, [df.staged_path])
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what the last stage in this thread has left."""
+    _remove(spark, getattr(_scope, "left", []))
+    _scope.left = []
+
+
+def pipeline_stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose staged tables are removed as the next stage begins. By then its
+    result has been written, which is what reads them; a caller that does not write it
+    must not begin another stage."""
+    @functools.wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        _scope.paths = []
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _scope.left, _scope.paths = _scope.paths, None
+    return stage
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +110,32 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 def extended(fields: list[T.StructField], ddl: str) -> T.StructType:
     """A schema of given fields, whatever their names, and further ones."""
     return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
+ROW_BITS = 27
+
+
+def is_plain_read(docs: DataFrame) -> bool:
+    """True if the rows of ``docs`` are those of the Parquet files it reads, one by one."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    files = docs.inputFiles()
+    return bool(files) and docs.count() == docs.sparkSession.read.parquet(*files).count()
+
+
+def row_number(docs: DataFrame) -> Column:
+    """A number of each row of ``docs``, a plain read of Parquet files: 36 bits of a hash
+    of its file's name and its place in the file. Every scan gives the same, however the
+    files are split. The hash is salted until no two files share it."""
+    spark, files = docs.sparkSession, docs.inputFiles()
+
+    def prefix(path: Column, salt: int) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(path, F.lit(salt)), 64 - 63 + ROW_BITS)
+
+    named = spark.createDataFrame([(f,) for f in files], "f string")
+    salt = next(s for s in range(1000) if named.select(prefix(F.col("f"), s)).distinct().count() == len(files))
+    at = F.col("_metadata.row_index")
+    place = F.when(at < 1 << ROW_BITS, at).otherwise(F.raise_error(F.lit(f"a file of more than {1 << ROW_BITS} rows")).cast("long"))
+    return F.shiftleft(prefix(F.col("_metadata.file_path"), salt), ROW_BITS).bitwiseOR(place)

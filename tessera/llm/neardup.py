@@ -39,11 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, extended, staged
+from .common import bounded_broadcast, extended, forget, is_plain_read, row_number, staged
 
 WORDS = 5
 SYMBOLS = 64
@@ -117,14 +116,9 @@ def set_key(x: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n_shingles, set_key, signature, text, doc`` (key and signature null
-    for an empty set; ``doc`` holds all columns but the id and text)."""
-    rest = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("doc")
-    docs = docs.select("doc_id", "text", rest)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
+    """``row, doc_id, n_shingles, set_key, signature`` (key and signature null for an
+    empty set) of ``docs(row, doc_id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
             n, keys, signatures = [], [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
@@ -133,16 +127,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys.append(set_key(x) if len(x) else None)
                 signatures.append(signature(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(n)), pa.int64()), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(signatures, pa.list_(pa.int32())), b.column("text"), b.column("doc")],
-                names=["row", "doc_id", "n_shingles", "set_key", "signature", "text", "doc"])
-            row += len(n)
+                [b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))],
+                names=["row", "doc_id", "n_shingles", "set_key", "signature"])
 
-    schema = extended([], f"row long, doc_id {id_type}, n_shingles long, set_key binary, signature array<int>, text string")
-    return docs.mapInArrow(run, schema.add(docs.schema["doc"]))
+    return docs.select("row", "doc_id", "text").mapInArrow(run, extended([docs.schema["row"], docs.schema["doc_id"]], "n_shingles long, set_key binary, signature array<int>"))
 
 
-def _confirmed(sketches: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that link: within the signature distance, then on full sets."""
     sig = nodes.select("node", "n_shingles", "signature")
     near = (pairs.join(sig.toDF("a", "na", "sa"), "a").join(sig.toDF("b", "nb", "sb"), "b")
@@ -150,7 +141,7 @@ def _confirmed(sketches: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataF
                    & (F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x != y), lambda x: x)) <= DISTANCE)).select("a", "b"))
     near = staged(near, "near")
     needed = near.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = staged(sketches.select("row", "text").join(bounded_broadcast(needed, MAX_BROADCAST_NODES), "row"), "texts")
+    told = staged(texts.join(bounded_broadcast(needed, MAX_BROADCAST_NODES), "row"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, left = None, None
@@ -165,22 +156,28 @@ def _confirmed(sketches: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataF
                 keep.append(100 * both >= PERCENT * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = near.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return staged(both.mapInArrow(run, "a long, b long"), "links")
+    both = near.join(told.toDF("b", "tb"), "b").join(told.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    links = staged(both.mapInArrow(run, "a long, b long"), "links")
+    forget(near, told)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of every node that has a link. Labels
     fall to the least neighbour's, then to their own label's label, until none moves."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    first = labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    last = None
     while True:
         least = (both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
                  .join(labels, "node").select("node", F.least("c", "component").alias("c"), F.col("component").alias("old")))
         jump = least.join(labels.toDF("c", "cc"), "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "old")
         new = staged(jump, "labels")
-        labels = new.drop("old")
+        if last is not None:
+            forget(last)
+        last, labels = new, new.drop("old")
         if new.where("component != old").isEmpty():
+            forget(both, first)
             return labels
 
 
@@ -198,10 +195,14 @@ def _still_mixed(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a bucket."""
+    """Pairs of different components that meet in so many light buckets as a pair within
+    the distance must: all its equal symbols but those in large buckets, of which it has no
+    more than either node has."""
     a, b = members.alias("a"), members.alias("b")
-    return (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")))
-            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")))
+    shared = met.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.least("a.in_large", "b.in_large")).alias("in_large"))
+    return shared.where(F.col("n") + F.col("in_large") >= SYMBOLS - DISTANCE).select("a", "b")
 
 
 def _representatives(members: DataFrame, turn: int) -> DataFrame:
@@ -215,33 +216,37 @@ def _representatives(members: DataFrame, turn: int) -> DataFrame:
         F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
 
-def link(sketches: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def link(texts: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """``node, component`` of the nodes that have a link."""
     keys = nodes.select("node", F.posexplode("signature").alias("k", "symbol")).select(
         "node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("symbol").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = staged(keys.join(shared, "key"), "members")
+    forget(shared)
     links, labels = None, None
     for turn in range(rounds):
         mixed = _still_mixed(_labelled(members.select("key", "node"), labels))
-        links = _more(links, _confirmed(sketches, nodes, _representatives(mixed, turn)))
+        links = _more(links, _confirmed(texts, nodes, _representatives(mixed, turn)))
         labels = components(links)
+    large = staged(members.where(F.col("size") > light).groupBy("node").agg(F.count(F.lit(1)).alias("in_large")), "in-large")
     small = _still_mixed(_labelled(members.where(F.col("size") <= light).select("key", "node"), labels))
-    links = _more(links, _confirmed(sketches, nodes, _across(small)))
-    heavy = members.where(F.col("size") > light).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= SYMBOLS - DISTANCE).select("node")
-    heavy = staged(heavy.join(nodes.select("node", "signature"), "node"), "heavy")
+    small = small.join(bounded_broadcast(large, MAX_BROADCAST_NODES), "node", "left").withColumn("in_large", F.coalesce("in_large", F.lit(0)))
+    links = _more(links, _confirmed(texts, nodes, _across(small)))
+    heavy = staged(large.where(F.col("in_large") >= SYMBOLS - DISTANCE).join(nodes.select("node", "signature"), "node"), "heavy")
+    forget(members, large)
     if not heavy.isEmpty():
         labels = components(links)
         chunks = [F.xxhash64(F.lit(c), F.lit(out), *[F.get("signature", F.lit(c + j)) for j in range(CHUNK) if j != out]).alias("key")
                   for c in range(0, SYMBOLS, CHUNK) for out in range(CHUNK)]
         spread = staged(heavy.select("node", F.explode(F.array(*chunks)).alias("key")), "wide-keys")  # read twice below
         wide = staged(_still_mixed(_labelled(spread, labels)), "wide")
-        links = _more(links, _cluster_links(sketches, wide, block))
+        links = _more(links, _cluster_links(texts, wide, block))
+        forget(spread, wide)
+    forget(heavy)
     return components(links)
 
 
-def _cluster_links(sketches: DataFrame, wide: DataFrame, block: int) -> DataFrame:
+def _cluster_links(texts: DataFrame, wide: DataFrame, block: int) -> DataFrame:
     """Links between different components of ``wide(key, node, component)``: nodes that
     meet in a bucket, directly or through others, are compared block by block."""
     first = staged(wide.groupBy("key").agg(F.min("node").alias("b")), "first")
@@ -250,7 +255,7 @@ def _cluster_links(sketches: DataFrame, wide: DataFrame, block: int) -> DataFram
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = cluster.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = dealt.select("cluster", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = staged(paired, "paired").join(sketches.select(F.col("row").alias("node"), "text"), "node").select(
+    rows = staged(paired, "paired").join(texts.withColumnRenamed("row", "node"), "node").select(
         "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own", "text")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -303,12 +308,14 @@ def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if links is None else links.unionAll(new)
 
 
-def _judged(sketches: DataFrame, light: int, rounds: int, block: int = BLOCK) -> DataFrame:
-    """``row, doc_id, n_shingles, set_key, component, component_id, kept`` of every sketch."""
+def _judged(docs: DataFrame, sketches: DataFrame, light: int, rounds: int, block: int = BLOCK) -> DataFrame:
+    """``row, doc_id, n_shingles, set_key, component, component_id, kept`` of every sketch
+    of ``docs(row, doc_id, text)``."""
     filled = sketches.where(F.col("set_key").isNotNull())
     nodes = staged(filled.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
     told = staged(filled.select(F.col("row").alias("node"), "n_shingles", "signature").join(nodes.select("node"), "node"), "signatures")
-    labels = staged(link(sketches, told, light, rounds, block), "components")
+    labels = staged(link(docs.select("row", "text"), told, light, rounds, block), "components")
+    forget(told)
     placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = staged(placed.select("set_key", "component").join(least, "component"), "of-set")  # a hot set's join side can be split
@@ -317,17 +324,29 @@ def _judged(sketches: DataFrame, light: int, rounds: int, block: int = BLOCK) ->
     return joined.withColumn("component_id", own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _files(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a plain read of files, which can be scanned again where
+    texts are compared, else a staged copy."""
+    return docs if is_plain_read(docs) else staged(docs, "documents")
+
+
 def near_duplicates(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
-    sketches = staged(sketch(docs.select("doc_id", "text")), "sketches")
-    return _judged(sketches, light, rounds, block).select("doc_id", "n_shingles", "component_id", "kept")
+    docs = _files(docs.select("doc_id", "text"))
+    docs = docs.select(row_number(docs).alias("row"), "doc_id", "text")
+    sketches = staged(sketch(docs), "sketches")
+    return _judged(docs, sketches, light, rounds, block).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
     """One document of each group, all its columns: a row of the smallest id (of several,
     the first). Documents without words all stay."""
-    sketches = staged(sketch(docs), "sketches")
-    judged = staged(_judged(sketches, light, rounds).where("kept").select("row", "component"), "kept")
-    one = judged.groupBy(F.coalesce("component", -F.col("row") - 1).alias("group")).agg(F.min("row").alias("row")).select("row")
-    back = [F.col(c) if c in ("doc_id", "text") else F.col("doc").getField(c).alias(c) for c in docs.columns]
-    return sketches.join(one, "row", "left_semi").select(*back)
+    docs = _files(docs)
+    row = row_number(docs).alias("row")
+    slim = docs.select(row, "doc_id", "text")
+    sketches = staged(sketch(slim), "sketches")
+    judged = staged(_judged(slim, sketches, light, rounds).where("kept").select("row", "component"), "kept")
+    one = staged(judged.groupBy(F.coalesce("component", -F.col("row") - 1).alias("group")).agg(F.min("row").alias("row")).select("row"), "one")
+    forget(sketches, judged)
+    whole = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(row, whole).join(one, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, neardup, packing, pii, quality
-from .common import crc_bucket, read_table
+from .common import crc_bucket, pipeline_stage, read_table
 
 
+@pipeline_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It is learned from the
     labelled documents of ``docs``, the held-out fifth left out."""
@@ -22,16 +23,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("predicted") == 1).select("doc.*")
 
 
+@pipeline_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; documents without words all stay."""
     return neardup.deduplicate(docs)
 
 
+@pipeline_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@pipeline_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every span replaced by its kind; ``n_chars`` follows the text."""
     rest = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")
@@ -47,6 +51,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[column(c) for c in docs.columns])
 
 
+@pipeline_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed stream of all documents that arrive."""
     return packing.pack(docs)
