@@ -30,6 +30,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -64,7 +65,11 @@ NEGATIONS = frozenset("no not non without with has have hide hides".split())
 LAYOUT_WORDS = frozenset("layout".split())
 STATE_WORDS = frozenset("open opened closed enabled disabled on off".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(>|\Z)|<[!?/][^>]*+>""", re.S)
+# The same where quotes do not count: from a tag on that its quotes never let end.
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(>)|<[!?/][^>]*+>", re.S)
+INLINE = frozenset(("a", "b", "i", "span", "em", "strong"))
+BARRIERS = ("td", "th", "table", "article", "section", "main", "div")
 _CLASSES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -101,9 +106,16 @@ class Tree:
     def __init__(self, page: str):
         self.parent, self.tag, self.noise, self.pieces = [-1], ["body"], [False], []
         self.named: dict[int, tuple[set[str], bool]] = {}
-        stack, at, end = [0], 0, len(page)
+        self.open: dict[str, list[int]] = {}  # places on the stack by name
+        stack, at, end, tag, last = [0], 0, len(page), _TAG, page.rfind(">")
         while at < end:
-            m = _TAG.search(page, at)
+            if at > last:  # no tag ends any more; what opens a comment still does
+                self._text(stack[-1], page[at:].partition("<!--")[0])
+                break
+            m = tag.search(page, at)
+            if m and m[2] and not m[4]:
+                tag = _PLAIN_TAG
+                m = tag.search(page, at)
             if not m:
                 self._text(stack[-1], page[at:])
                 break
@@ -131,11 +143,9 @@ class Tree:
             if name in RAW:
                 close = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
                 at = close.start() if close else end
-                stack.append(node)
-            elif name not in VOID and not m[3].endswith("/"):
-                stack.append(node)
-            elif name not in VOID and name in BLOCK | {"a", "b", "i", "span", "em", "strong"}:
-                stack.append(node)  # HTML ignores the slash of a normal element
+                self._push(stack, node)
+            elif name not in VOID and (not m[3].endswith("/") or name in BLOCK or name in INLINE):  # HTML ignores the slash of a normal element
+                self._push(stack, node)
         if self.named:
             self._exclude()
 
@@ -180,15 +190,28 @@ class Tree:
         if not self.noise[node]:
             self.pieces.append((node, html.unescape(text)))
 
+    def _push(self, stack: list[int], node: int) -> None:
+        self.open.setdefault(self.tag[node], []).append(len(stack))
+        stack.append(node)
+
+    def _cut(self, stack: list[int], at: int) -> None:
+        """Take the elements from ``at`` on off the stack."""
+        for node in reversed(stack[at:]):
+            self.open[self.tag[node]].pop()
+        del stack[at:]
+
+    def _highest(self, names) -> int:
+        """Place on the stack of the innermost open element of these names, 0 if none."""
+        return max((at[-1] for x in names if (at := self.open.get(x))), default=0)
+
     def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == name:
-                if name in BLOCK:
-                    self.pieces.append((stack[i], None))
-                del stack[i:]
-                return
-            if name not in BLOCK and self.tag[stack[i]] in ("td", "th", "table", "article", "section", "main", "div"):
-                return  # an inline end does not close the blocks around it
+        at = self._highest((name,))
+        # an end that matches nothing is ignored, and an inline one does not close the blocks around it
+        if not at or name not in BLOCK and self._highest(BARRIERS) > at:
+            return
+        if name in BLOCK:
+            self.pieces.append((stack[at], None))
+        self._cut(stack, at)
 
     def _imply(self, stack: list[int], name: str) -> None:
         if name in CLOSES_P:
@@ -198,14 +221,11 @@ class Tree:
             self._close_up_to(stack, ends.split(), scope)
 
     def _close_up_to(self, stack: list[int], names, scope) -> None:
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] in names:
-                cut = i
-            elif self.tag[stack[i]] in scope:
-                break
-        if cut is not None:
-            del stack[cut:]
+        """Close the elements of these names that are inside the innermost one of the scope."""
+        inside = self._highest([x for x in scope if x not in names])
+        first = [at[k] for x in names if (at := self.open.get(x)) and (k := bisect.bisect_right(at, inside)) < len(at)]
+        if first:
+            self._cut(stack, min(first))
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int]]:

@@ -91,3 +91,24 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
     assert sorted(r.text for r in D.extract_pages(df).collect()) == ["", "", LONG, LONG]
     assert D.extract_pages(df.limit(0)).count() == 0
+
+
+def test_broken_pages_take_linear_time():
+    """Ends that match nothing, deep inline nesting, tags and quotes that never end."""
+    import time
+
+    article = "<article><p>The main text of the page stands here, and is long enough to be kept.</p></article>"
+    forms = {"ends": "<b>" * 80_000 + "</i>" * 80_000, "nested": "<span>" * 80_000 + "<p>" * 80_000, "open": "<a " * 300_000, "quotes": "<a \">\"" * 140_000,
+             "marks": "<!" * 400_000, "cells": "<table><tr><td>" * 60_000, "lists": "<ul><li>x" * 100_000, "blanks": "<p class" + " " * 1_000_000 + "x>y"}
+    for name, form in forms.items():
+        times = []
+        for part in (form[:len(form) // 2], form):
+            began = time.process_time()
+            text = D.extract(article + part)
+            times.append(time.process_time() - began)
+            assert "main text of the page" in text, name
+        assert times[1] < 3 * times[0] + 1 and times[1] < 12, (name, times)
+
+
+def test_a_tag_that_its_quotes_never_end():
+    assert D.extract("<article><p>One text</p><p title=\"broken>two</p><p>three</p></article>") == "One text\ntwo\nthree"
