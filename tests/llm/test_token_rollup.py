@@ -29,7 +29,7 @@ def recount(batches):
         for r in rows:
             i, v, s, g, n, op, seq = r
             if i is None:
-                nameless += [(s, g, v, n or 0)] if op != "delete" else []
+                nameless += [(s, g, v, n or 0)] if op == "insert" else []
             elif (i, v) not in last or (seq, n or 0, op) > last[i, v][0]:
                 last[i, v] = ((seq, n or 0, op), s, g)
         for (i, v), ((_, n, op), s, g) in last.items():
@@ -45,7 +45,8 @@ def recount(batches):
 
 def test_random_batches_equal_a_recount(spark):
     rnd, r, done = random.Random(4), rollup(spark), []
-    for k in range(4):
+    r.compact_at = 3
+    for k in range(5):
         rows = [(rnd.choice([None, *map(str, range(12))]), rnd.choice("ab"), rnd.choice(["s", "t", None]), rnd.choice(["en", None]), rnd.choice([None, 0, 5, 7]),
                  rnd.choice(["insert", "revise", "delete"]), j) for j in range(14)]
         frame = spark.createDataFrame(rows, R.CHANGE)
@@ -66,6 +67,53 @@ def test_a_failed_attempt_changes_nothing(spark, monkeypatch):
     assert r.apply("b", rows) and totals(r) == {("s", "en", "v"): (1, 3)}
 
 
+def test_batches_prepared_against_one_state(spark, monkeypatch):
+    """The second of two writers signs its batch again: one document is one document."""
+    r, other = rollup(spark), []
+    one = spark.createDataFrame([("1", "v", "s", "en", 5, "insert", 0)], R.CHANGE)
+    two = spark.createDataFrame([("1", "v", "s", "en", 7, "insert", 0)], R.CHANGE)
+    real = R.VersionLog.commit
+
+    def commit(self, *a, **b):
+        if not other:
+            other.append(1)
+            assert R.Rollup(spark, r.path).apply("two", two)
+        return real(self, *a, **b)
+
+    monkeypatch.setattr(R.VersionLog, "commit", commit)
+    assert r.apply("one", one) and sorted(r.committed()) == ["one", "two"]
+    assert totals(r) == {("s", "en", "v"): (1, 5)}
+
+
+def test_a_writer_that_dies_while_it_commits(spark, monkeypatch):
+    r = rollup(spark)
+    rows = spark.createDataFrame([("1", "v", "s", "en", 3, "insert", 0)], R.CHANGE)
+    with monkeypatch.context() as m:
+        m.setattr(R.VersionLog, "_name", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            r.apply("b", rows)
+    again = R.Rollup(spark, r.path)
+    assert again.committed() == [] and totals(again) == {} and again.live().count() == 0
+    assert again.apply("b", rows) and totals(again) == {("s", "en", "v"): (1, 3)}
+
+
+def test_a_null_id_is_counted_once(spark):
+    r = rollup(spark)
+    for k, op in enumerate(["insert", "revise", "delete"]):
+        r.apply(str(k), spark.createDataFrame([(None, "v", "s", "en", 3 + k, op, 0)], R.CHANGE))
+    assert totals(r) == {("s", "en", "v"): (1, 3)}
+
+
+def test_compaction_keeps_counts_and_removes_ledgers(spark):
+    r = R.Rollup(spark, rollup(spark).path, compact=3, retain_s=0)
+    for k in range(7):
+        r.apply(str(k), spark.createDataFrame([("1", "v", "s", "en", k, "revise", 0), (f"d{k}", "v", "s", "en", 1, "insert", 0)], R.CHANGE))
+    state = r.log.head().state
+    assert len(state["ledgers"]) < 3 and len(state["batches"]) == 7
+    assert totals(r) == {("s", "en", "v"): (8, 7 + 6)} and r.live().count() == 8
+    assert not r.apply("0", spark.createDataFrame([("1", "v", "s", "en", 99, "revise", 0)], R.CHANGE))
+
+
 def test_empty_batches(spark):
     r = rollup(spark)
     assert totals(r) == {} and r.apply("none", spark.createDataFrame([], R.CHANGE)) and totals(r) == {}
