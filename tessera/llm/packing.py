@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ from .common import bounded_broadcast, staged
 WINDOW = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MEMO_ENTRIES = 400_000
+MEMO_BYTES = 100_000_000  # about, of a worker's memo
+MEMO_PIECE = 40  # characters; longer pieces rarely come again
 MAX_BROADCAST_PARTS = 1_000_000
 
 # White space other than blank and line feed; texts that hold any are encoded whole.
@@ -44,14 +46,20 @@ _PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
 
 class _Memo(dict):
-    """Piece of text -> its ids as little-endian 32-bit bytes."""
+    """Piece of text -> its ids as little-endian 32-bit bytes, bounded in bytes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, piece):
-        ids = self[piece] = np.array(self.encode(piece), dtype="<u4").tobytes()
+        ids = np.array(self.encode(piece), dtype="<u4").tobytes()
+        if len(piece) <= MEMO_PIECE:
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += sys.getsizeof(piece) + sys.getsizeof(ids) + 100
+            self[piece] = ids
         return ids
 
 
@@ -65,6 +73,7 @@ class Encoder:
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.largest = max(ranks.values())
         self.memo = _Memo(enc.encode_ordinary)
 
     def __call__(self, text: str | None) -> bytes:
@@ -73,10 +82,7 @@ class Encoder:
             return b""
         if _RARE_SPACE.search(text):
             return np.array(self.memo.encode(text), dtype="<u4").tobytes()
-        out = b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        return out
+        return b"".join(map(self.memo.__getitem__, _PIECE.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -93,10 +99,14 @@ def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID
     """``doc_id, part, row, before, doc_tokens, ids``: ids as 16-bit values closed by
     ``end_id``; ``before`` counts the tokens ahead of it in its partition."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    if end_id > 0xFFFF:
+        raise ValueError(f"{end_id} does not fit 16 bits")
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, before = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        if encode.largest > 0xFFFF:
+            raise ValueError(f"ids of {vocabulary} do not fit 16 bits")
         for b in batches:
             ids, at, n = [], [], []
             for text in b.column("text").to_pylist():

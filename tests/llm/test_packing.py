@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -66,3 +67,28 @@ def test_prefix_sums_over_many_partitions(spark):
     tokens = spark.range(0, 57).select((F.col("id") * 3).cast("int").alias("part"), (F.col("id") + 1).alias("doc_tokens"))
     got = {r.part: r.base for r in packing.offsets(tokens, bucket=10).collect()}
     assert got == {3 * i: sum(range(1, i + 1)) for i in range(57)}
+
+
+def test_the_memo_is_bounded_in_bytes(monkeypatch):
+    """Texts without blanks, and many distinct short pieces, in a process of their own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from tessera.llm.packing import Encoder
+rnd, e = random.Random(1), Encoder()
+e("warm up"); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for k in range(100_000):
+    e("".join(map(chr, rnd.choices(range(0x4E00, 0x5E00), k=40 if k % 20 else 1500))))
+    e(f"{rnd.random()} {rnd.random()}")
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(out.stdout) < 300, out.stdout
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="16 bits"):
+        packing.tokenise(df, end_id=70_000).collect()
