@@ -18,7 +18,6 @@ language or id is never learned from; with no labelled row at all every text is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +44,6 @@ FAMILIES = {
     "sino-japanese": ("ja", "ko", "zh"),
     "semitic": ("am", "ar", "he", "mt"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family_of(lang: str, families=None) -> str:
@@ -115,7 +113,7 @@ def fit(x: np.ndarray, langs: list[str], families=None) -> dict:
 
 def predict(model: dict, text: str | None) -> tuple[str, float]:
     """Language and score of one text."""
-    if not text or not model["groups"] or not _LETTER.search(text):
+    if not text or not model["groups"] or not any(map(str.isalpha, text)):
         return UND, 0.0
     x = np.append(profile(text), np.float32(1))
     if "family" in model:
