@@ -1,6 +1,7 @@
 """Decontamination and license scan against brute force over every position."""
 
 import hashlib
+import random
 import re
 
 from tessera.llm import decontaminate as D
@@ -87,9 +88,11 @@ def brute_licenses(text):
         labels |= {label} if at else set()
     own = set(labels)
     for label, template, keys in L.TEMPLATES:
-        tw = template.split()
+        tw = words(template)
         back = {k: next(i for i in range(len(tw)) if tw[i:i + len(k.split())] == k.split()) for k in keys}
-        if any(all(s + b >= 0 and w[s + b:s + b + len(k.split())] == k.split() for k, b in back.items()) for s in range(-len(tw), len(w))):
+        first, b = keys[0].split(), back[keys[0]]
+        starts = [i - b for i in range(len(w)) if w[i:i + len(first)] == first]
+        if any(all(s + b >= 0 and w[s + b:s + b + len(k.split())] == k.split() for k, b in back.items()) for s in starts):
             own.add(label)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(own))
 
@@ -114,3 +117,26 @@ def test_license_scan_on_table(spark, t):
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in L.scan(t.documents).collect()}
     for r in t.documents.collect():
         assert got[r.doc_id] == brute_licenses(r.text)[:5]
+
+
+def test_key_words_that_are_frequent(spark):
+    """The key phrases' words are everywhere, in another order; one text holds the phrase."""
+    rnd = random.Random(2)
+    docs = []
+    for label, template, keys in L.TEMPLATES:
+        every = [w for k in keys for w in k.split()]
+        docs += [" ".join(rnd.sample(every, len(every))) + " filler" * k for k in range(6)]
+        docs += [f"before {keys[0]} after", f"some words {template} and more words", template.replace(" ", "  ,", 3)]
+        docs += [" ".join(template.split()[:len(template.split()) // 2]), " ".join(reversed(words(template)))]
+    for rare in (1, 2, 3, 50):
+        rows = L.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3), rare_words=rare).collect()
+        assert {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in rows} == {i: brute_licenses(x) for i, x in enumerate(docs)}
+
+
+def test_a_whole_licence_scores_higher_than_its_key_phrase(spark):
+    label, template, keys = next(t for t in L.TEMPLATES if t[0] == "zlib")
+    between = template.split()
+    cut = " ".join(between[:len(between) // 2] + ["x"] * 3 + between[len(between) // 2:])
+    docs = [(0, template), (1, " gap ".join(keys)), (2, "y " * 400 + template), (3, cut)]
+    rows = {r.doc_id: r for r in L.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[0].score == rows[2].score == 1 and rows[2].labels == "zlib" and rows[1].labels == "" and rows[3].labels in ("", "zlib")
