@@ -16,7 +16,9 @@ size, always by the same steps:
 NULL groups and NULL order keys behave as in the plain window: NULL is a group of
 its own and sorts first. Rows that tie on the whole order key stay in one slice, so
 the caller gives a total order (a unique tiebreak). Fractional sums are added as
-decimals, so a cut cannot change them.
+decimals where all values so far are decimals of that size exactly, so that a cut cannot
+change them; where one is not (finer, larger, infinite or not a number), as doubles,
+slice after slice.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 _S = "_slice"
 SLICES_CONF = "tessera.ordered.slices"
 SUM_TYPE = "decimal(38,6)"
+EXACT_BELOW = 1e18  # so that no sum of less than 1e14 rows overflows
 
 
 def _cols(xs):
@@ -52,13 +55,18 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list, seq: st
                  sums: dict[str, Column] | None = None, n_slices: int | None = None) -> DataFrame:
     """Add ``seq`` (1-based row number) and running sums ``{name: expr}`` per group,
     in the order of ``order_cols``."""
-    sums, spark, columns = sums or {}, df.sparkSession, list(df.columns)
+    spark, columns, given = df.sparkSession, list(df.columns), list(sums or {})
     ensure_checkpoint_dir(spark)
     order = _cols(order_cols)
     staged = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()}) if sums else df
-    fractional = {name: isinstance(staged.schema[f"_v_{name}"].dataType, (T.DoubleType, T.FloatType)) for name in sums}
+    fractional = {name: isinstance(staged.schema[f"_v_{name}"].dataType, (T.DoubleType, T.FloatType)) for name in given}
+    sums = list(given)
     for name in (n for n, yes in fractional.items() if yes):
-        staged = staged.withColumn(f"_v_{name}", F.col(f"_v_{name}").cast(SUM_TYPE))
+        value = F.col(f"_v_{name}").cast("double")
+        exact = F.when(F.abs(value) < EXACT_BELOW, value.try_cast(SUM_TYPE))
+        inexact = (value.isNotNull() & ~F.coalesce(exact.cast("double") == value, F.lit(False))).cast("long")
+        staged = staged.withColumns({f"_v_{name}": value, f"_v_{name}_exact": exact, f"_v_{name}_inexact": inexact})
+        sums += [f"{name}_exact", f"{name}_inexact"]
     sliced = (staged.repartitionByRange(n_slices or slices(spark), *_cols(group_cols), *order)
               .withColumn(_S, F.spark_partition_id()).checkpoint())
 
@@ -82,11 +90,18 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list, seq: st
     added = {}
     if seq:
         added[seq] = (F.col("_lrn") + F.col("_o_cnt")).cast("int")
-    for name in sums:
+
+    def total(name: str) -> Column:
         # A NULL local sum means no value so far in this slice: earlier slices count alone.
         here, before = F.col(f"_l_{name}"), F.col(f"_o_{name}")
-        total = F.when(here.isNull(), before).otherwise(here + F.coalesce(before, F.lit(0)))
-        added[name] = total.cast("double") if fractional[name] else total
+        return F.when(here.isNull(), before).when(before.isNull(), here).otherwise(here + before)
+
+    for name in given:
+        if fractional[name]:
+            exact = F.when(F.coalesce(total(f"{name}_inexact"), F.lit(0)) == 0, total(f"{name}_exact")).cast("double")
+            added[name] = F.coalesce(exact, total(name))
+        else:
+            added[name] = total(name)
     return out.select(*[F.col(f"l.`{c}`") for c in columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 

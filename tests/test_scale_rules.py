@@ -150,3 +150,23 @@ def test_approximate_recall_finds_most(spark):
     exact = {(r.qid, r.lid) for r in S.recall(q.drop("seq"), q.withColumnRenamed("qid", "lid"), 1, 0.5).collect()}
     near = {(r.qid, r.lid) for r in S.recall_approx(q, q.withColumnRenamed("qid", "lid"), 1, 0.5).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_running_sums_of_any_doubles(spark):
+    """Sums that six decimals cannot hold, next to ones that they do."""
+    import math
+
+    values = {"fine": [4e-7, 4e-7, 4e-7, None, 1e-12], "large": [1e33, 1.0, -1e33, 5e32], "cents": [0.1, 0.2, None, 0.3, 0.4, 1e6 + 0.01], "odd": [1.0, math.inf, 2.0], "none": [None, None],
+              "huge": [9e31, 9e31, 9e31], "late": [0.1, 0.2, 1e-9]}
+    rows = [(g, i, v) for g, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    got = {}
+    for r in ordered_scan(df, ["g"], ["i"], seq=None, sums={"s": F.col("v")}, n_slices=7).orderBy("g", "i").collect():
+        got.setdefault(r.g, []).append(r.s)
+    assert got["none"] == [None, None] and got["odd"] == [1.0, math.inf, math.inf]
+    assert got["cents"] == [0.1, 0.3, 0.3, 0.6, 1.0, 1000001.01]
+    for g in ("fine", "large", "huge", "late"):
+        so_far = 0.0
+        for v, s in zip(values[g], got[g], strict=True):
+            so_far += v or 0.0
+            assert math.isclose(s, so_far, rel_tol=1e-12, abs_tol=1e17 if g == "large" else 1e-18), (g, got[g])
