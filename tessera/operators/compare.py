@@ -14,6 +14,9 @@ comparing; NULL is not equal to the text 'None'.
 
 from __future__ import annotations
 
+import threading
+from concurrent.futures import Future
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,35 +107,57 @@ def is_empty(log: DataFrame) -> DataFrame:
     return log.withColumn("is_empty", F.col("ok") & (F.col("row_count") == 0))
 
 
+class QueryRuns:
+    """Results of query texts, each run and frozen once however many ask for it, and
+    however many at the same time."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._lock, self._runs = spark, threading.Lock(), {}
+        ensure_checkpoint_dir(spark)
+
+    def _once(self, key: tuple, make):
+        with self._lock:
+            first = key not in self._runs
+            run = self._runs.setdefault(key, Future())
+        if first:
+            try:
+                run.set_result(make())
+            except Exception as e:
+                run.set_exception(e)
+        return run.result()
+
+    def frame(self, sql: str) -> DataFrame:
+        """The analysed query."""
+        def make():
+            df = self.spark.sql(sql)
+            df.schema  # noqa: B018 - forces analysis
+            return df
+        return self._once((sql, None), make)
+
+    def frozen(self, sql: str, ordered: bool) -> DataFrame:
+        """Its rows, with their positions if ``ordered``."""
+        return self._once((sql, ordered), lambda: _with_row_pos(self.frame(sql)) if ordered else self.frame(sql).checkpoint(eager=True))
+
+
 def execution_accuracy(spark: SparkSession, pred_sql: str | None, gold_sql: str,
-                       gold_ordered: bool | None = None) -> tuple[bool, str, int | None, int | None]:
+                       gold_ordered: bool | None = None, runs: QueryRuns | None = None) -> tuple[bool, str, int | None, int | None]:
     """Run both queries and classify: no query / reference failed / query failed /
     match / counts differ / values differ. Each side's rows stay on the cluster;
     only the one-row verdict is collected. Ordered references compare row
-    positions (``row_number`` over the reference's own output order)."""
+    positions (``row_number`` over the reference's own output order). The texts of the
+    verdicts are fixed values."""
     if not pred_sql or not pred_sql.strip():
         return False, "no query produced", None, None
-    try:
-        gold = spark.sql(gold_sql)
-        gold.schema  # noqa: B018 - forces analysis
-    except Exception as e:  # analysis error = the database error
-        return False, f"REFERENCE QUERY FAILED: {_first_line(e)}", None, None
-    try:
-        pred = spark.sql(pred_sql)
-        pred.schema  # noqa: B018
-    except Exception as e:
-        return False, f"query failed: {_first_line(e)}", None, None
+    runs = runs or QueryRuns(spark)
     ordered = ("order by" in gold_sql.lower()) if gold_ordered is None else gold_ordered
-    freeze = _with_row_pos if ordered else lambda df: df.checkpoint(eager=True)
-    ensure_checkpoint_dir(spark)
-    try:  # each side is run on its own, so a failure is charged to the query that failed
-        gold = freeze(gold)
-    except Exception as e:
-        return False, f"REFERENCE QUERY FAILED: {_first_line(e)}", None, None
-    try:
-        pred = freeze(pred)
-    except Exception as e:
-        return False, f"query failed: {_first_line(e)}", None, None
+    sides = (("REFERENCE QUERY FAILED", gold_sql), ("query failed", pred_sql))
+    for step in (runs.frame, lambda sql: runs.frozen(sql, ordered)):  # analysed first, both; then each run on its own
+        for failed, sql in sides:
+            try:
+                step(sql)
+            except Exception as e:  # a failure is charged to the query that failed
+                return False, f"{failed}: {first_line(e)}", None, None
+    pred, gold = (runs.frozen(sql, ordered) for sql in (pred_sql, gold_sql))
     r = (compare(pred, gold, "_rowpos", "_rowpos") if ordered else compare(pred, gold)).first()
     return bool(r["correct"]), r["reason"], int(r["pred_rows"]), int(r["gold_rows"])
 
@@ -149,6 +174,6 @@ def _with_row_pos(df: DataFrame) -> DataFrame:
     return ordered_scan(frozen, [], ["_mono"], seq="_rowpos").drop("_mono")
 
 
-def _first_line(e: Exception) -> str:
+def first_line(e: Exception) -> str:
     text = str(e).strip()
     return text.split("\n")[0] if text else type(e).__name__

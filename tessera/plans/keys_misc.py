@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import attempts as W
+from ..operators import forest as FO
 from ..operators import ops as O
 from ..operators import profile as P
 from ..operators import querylog as L
@@ -342,6 +343,19 @@ def ops_spans_flat(spark, d):
     return O.spans_flat(_spans(spark, d))
 
 
+@register("ops_spans_preorder", "WITH RECURSIVE " + SPANS + """,
+t(run_id, seq, depth, path) AS (
+  SELECT run_id, seq, 0, lpad(CAST(seq AS VARCHAR), 10, '0') FROM spans s
+  WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.run_id = s.run_id AND p.seq = s.parent_seq)
+  UNION ALL
+  SELECT c.run_id, c.seq, t.depth + 1, concat(t.path, '/', lpad(CAST(c.seq AS VARCHAR), 10, '0'))
+  FROM spans c JOIN t ON c.run_id = t.run_id AND c.parent_seq = t.seq)
+SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY path) AS BIGINT) AS position, CAST(depth AS BIGINT) AS depth,
+       (SELECT count(*) FROM t u WHERE u.run_id = t.run_id AND starts_with(u.path, concat(t.path, '/'))) AS below FROM t""")
+def ops_spans_preorder(spark, d):
+    return FO.preorder(_spans(spark, d))[0]
+
+
 @register("ops_agents_used", with_(SPANS) + """
 SELECT run_id, string_agg(agent, ',' ORDER BY s, agent) AS agents FROM (
   SELECT run_id, agent, min(seq) AS s FROM spans WHERE seq > 1 GROUP BY run_id, agent) x GROUP BY run_id""")

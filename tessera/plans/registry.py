@@ -55,11 +55,7 @@ def on_tables(key: str, op, sql: str | None = None, **kw):
 
 
 def load_all():
-    from . import keys_rel  # noqa: F401
-    for mod in ("keys_agg", "keys_grd", "keys_pro", "keys_val", "keys_pth", "keys_misc", "keys_sim", "keys_str", "keys_src"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
+    from . import (  # noqa: F401
+        keys_agg, keys_grd, keys_misc, keys_pro, keys_pth, keys_rel, keys_sim, keys_src, keys_str, keys_val,
+    )
     return QUERIES, ORACLE

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import board as B
 from tessera.operators import compare as C
+from tessera.operators import forest as FO
 from tessera.operators import ops as O
 from tessera.operators import paths as PT
 from tessera.operators import querylog as L
@@ -170,3 +171,73 @@ def test_running_sums_of_any_doubles(spark):
         for v, s in zip(values[g], got[g], strict=True):
             so_far += v or 0.0
             assert math.isclose(s, so_far, rel_tol=1e-12, abs_tol=1e17 if g == "large" else 1e-18), (g, got[g])
+
+
+def _walk(rows):
+    """Positions, depths and subtree sizes by a walk from the roots."""
+    ids = {(r, s) for r, s, _ in rows}
+    children = {}
+    for r, s, p in rows:
+        children.setdefault((r, p if (r, p) in ids else None), []).append(s)
+    out = {}
+    for run in {r for r, _, _ in rows}:
+        n, stack, order = 0, [(s, 0) for s in sorted(children.get((run, None), []), reverse=True)], []
+        while stack:
+            s, depth = stack.pop()
+            n += 1
+            order.append((s, depth))
+            out[run, s] = [n, depth, 0]
+            stack += [(c, depth + 1) for c in sorted(children.get((run, s), []), reverse=True)]
+        for i, (s, depth) in enumerate(order):
+            out[run, s][2] = next((j for j in range(i + 1, len(order)) if order[j][1] <= depth), len(order)) - i - 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_preorder_equals_a_walk(spark):
+    import random
+    rnd, rows = random.Random(8), []
+    for run in ["a", "b", None, "wide", "chain"]:
+        n = {"wide": 60, "chain": 60}.get(run, 40)
+        for s in range(n):
+            parent = 0 if run == "wide" and s else s - 1 if run == "chain" else rnd.choice([None, *range(s), 999]) if s else None
+            rows.append((run, s, parent))
+    rows += [("ring", 1, 2), ("ring", 2, 1), ("ring", 3, 2), ("ring", 4, None), ("ring", 5, 4)]
+    df = spark.createDataFrame(rows, "run_id string, seq int, parent_seq int").repartition(3)
+    out, rounds = FO.preorder(df)
+    assert {(r.run_id, r.seq): (r.position, r.depth, r.below) for r in out.collect()} == _walk(rows) and rounds <= 10
+    assert FO.preorder(df.limit(0))[0].count() == 0
+
+
+def test_preorder_of_a_very_deep_chain(spark):
+    n = 100_000
+    chain = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("seq"), (F.col("id") - 1).alias("parent_seq"))
+    out, rounds = FO.preorder(chain)
+    assert rounds <= 20
+    got = out.agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.count_if(F.col("position") != F.col("seq") + 1).alias("bad"), F.count_if(F.col("below") != n - 1 - F.col("seq")).alias("under")).first()
+    assert (got.n, got.d, got.bad, got.under) == (n, n - 1, 0, 0)
+
+
+def test_suites_are_graded_side_by_side(spark, t):
+    """200 pairs over a few query texts; one that fails, while it runs, is charged alone."""
+    from tessera.plans import keys_grd as G
+    t.customer.createOrReplaceTempView("customer")
+    pairs = [(f"p{i}", f"SELECT count(*) + {i % 20} FROM customer", "SELECT count(c_custkey) FROM customer") for i in range(198)]
+    pairs += [("bad", "SELECT raise_error('no') FROM customer", "SELECT count(c_custkey) FROM customer"), ("none", " ", "SELECT 1")]
+    spark.sparkContext.setLogLevel("OFF")
+    rows = {r.pair: (r.correct, r.reason) for r in G.grade_suite(spark, pairs).collect()}
+    spark.sparkContext.setLogLevel("ERROR")
+    assert len(rows) == 200
+    assert [k for k, v in rows.items() if v[0]] == [f"p{i}" for i in range(0, 198, 20)]
+    assert rows["bad"][1] == "query failed" and rows["none"][1] == "no query produced"
+    assert {v[1] for k, v in rows.items() if k.startswith("p")} == {"match", "same row count, different values"}
+
+
+def test_a_query_of_many_pairs_runs_once(spark, t, monkeypatch):
+    t.customer.createOrReplaceTempView("customer")
+    runs, asked = C.QueryRuns(spark), []
+    real = spark.sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, q, *a, **b: (asked.append(q), real(q, *a, **b))[1])
+    for _ in range(3):
+        assert C.execution_accuracy(spark, "SELECT 1 AS x", "SELECT 2 AS y", runs=runs)[1].startswith("same row count")
+        assert C.execution_accuracy(spark, "SELECT nope", "SELECT 2 AS y", runs=runs)[1].startswith("query failed")
+    assert sorted(asked) == ["SELECT 1 AS x", "SELECT 2 AS y", "SELECT nope"]
