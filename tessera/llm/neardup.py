@@ -51,6 +51,7 @@ CHUNK = 4
 LIGHT = 32
 PERCENT = 75
 ROUNDS = 2
+VOTES = 16
 BLOCK = 256
 COLUMNS = 16_384
 MAX_BROADCAST_NODES = 500_000
@@ -207,11 +208,13 @@ def _across(members: DataFrame) -> DataFrame:
 
 def _representatives(members: DataFrame, turn: int) -> DataFrame:
     """For each node the representative, of another component, that most of its buckets
-    name. A bucket's representative is its least node, under another order each turn."""
+    name, if they are ``VOTES`` or more: this step only saves work, and a pair that shares
+    fewer rarely links. A bucket's representative is its least node, under another order
+    each turn."""
     order = F.col("node") if not turn else F.xxhash64(F.lit(turn), "node")
     least = staged(members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("r")), "representatives")
     named = members.join(least, "key").where(F.col("component") != F.col("r.component"))
-    votes = named.groupBy("node", F.col("r.node").alias("rep")).agg(F.count(F.lit(1)).alias("n"))
+    votes = named.groupBy("node", F.col("r.node").alias("rep")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
     return votes.groupBy("node").agg(F.max_by("rep", F.struct("n", (-F.col("rep")).alias("r"))).alias("rep")).select(
         F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
 
@@ -225,7 +228,8 @@ def link(texts: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int = R
     forget(shared)
     links, labels = None, None
     for turn in range(rounds):
-        mixed = _still_mixed(_labelled(members.select("key", "node"), labels))
+        mixed = _labelled(members.select("key", "node"), labels)
+        mixed = mixed if labels is None else _still_mixed(mixed)  # at first every shared bucket is mixed
         links = _more(links, _confirmed(texts, nodes, _representatives(mixed, turn)))
         labels = components(links)
     large = staged(members.where(F.col("size") > light).groupBy("node").agg(F.count(F.lit(1)).alias("in_large")), "in-large")
@@ -349,4 +353,4 @@ def deduplicate(docs: DataFrame, light: int = LIGHT, rounds: int = ROUNDS) -> Da
     one = staged(judged.groupBy(F.coalesce("component", -F.col("row") - 1).alias("group")).agg(F.min("row").alias("row")).select("row"), "one")
     forget(sketches, judged)
     whole = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    return docs.select(row, whole).join(one, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return docs.select(row, whole).join(bounded_broadcast(one, MAX_BROADCAST_NODES), "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
