@@ -182,6 +182,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _grown(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``labels`` after further links: only links between different components are
+    followed, from component to component, so a link is looked at once."""
+    if labels is None:
+        return components(new)
+    a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    ends = new.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(staged(ends.where("a != b").distinct(), "between")).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    first = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node"))
+    every = labels.select("node", "component").unionByName(first.select("node", "component"))
+    return staged(every.join(bounded_broadcast(moved, MAX_BROADCAST_NODES), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``component`` of each member; a node without a link is its own."""
     if labels is None:
@@ -226,28 +239,26 @@ def link(texts: DataFrame, nodes: DataFrame, light: int = LIGHT, rounds: int = R
     shared = staged(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = staged(keys.join(shared, "key"), "members")
     forget(shared)
-    links, labels = None, None
+    labels = None
     for turn in range(rounds):
         mixed = _labelled(members.select("key", "node"), labels)
         mixed = mixed if labels is None else _still_mixed(mixed)  # at first every shared bucket is mixed
-        links = _more(links, _confirmed(texts, nodes, _representatives(mixed, turn)))
-        labels = components(links)
+        labels = _grown(labels, _confirmed(texts, nodes, _representatives(mixed, turn)))
     large = staged(members.where(F.col("size") > light).groupBy("node").agg(F.count(F.lit(1)).alias("in_large")), "in-large")
     small = _still_mixed(_labelled(members.where(F.col("size") <= light).select("key", "node"), labels))
     small = small.join(bounded_broadcast(large, MAX_BROADCAST_NODES), "node", "left").withColumn("in_large", F.coalesce("in_large", F.lit(0)))
-    links = _more(links, _confirmed(texts, nodes, _across(small)))
+    labels = _grown(labels, _confirmed(texts, nodes, _across(small)))
     heavy = staged(large.where(F.col("in_large") >= SYMBOLS - DISTANCE).join(nodes.select("node", "signature"), "node"), "heavy")
     forget(members, large)
     if not heavy.isEmpty():
-        labels = components(links)
         chunks = [F.xxhash64(F.lit(c), F.lit(out), *[F.get("signature", F.lit(c + j)) for j in range(CHUNK) if j != out]).alias("key")
                   for c in range(0, SYMBOLS, CHUNK) for out in range(CHUNK)]
         spread = staged(heavy.select("node", F.explode(F.array(*chunks)).alias("key")), "wide-keys")  # read twice below
         wide = staged(_still_mixed(_labelled(spread, labels)), "wide")
-        links = _more(links, _cluster_links(texts, wide, block))
+        labels = _grown(labels, _cluster_links(texts, wide, block))
         forget(spread, wide)
     forget(heavy)
-    return components(links)
+    return labels
 
 
 def _cluster_links(texts: DataFrame, wide: DataFrame, block: int) -> DataFrame:
@@ -308,10 +319,6 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
     return 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
 
 
-def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    return new if links is None else links.unionAll(new)
-
-
 def _judged(docs: DataFrame, sketches: DataFrame, light: int, rounds: int, block: int = BLOCK) -> DataFrame:
     """``row, doc_id, n_shingles, set_key, component, component_id, kept`` of every sketch
     of ``docs(row, doc_id, text)``."""
