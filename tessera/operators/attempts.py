@@ -9,7 +9,6 @@ directly only over groups bounded by construction (a chain of at most
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,23 +141,3 @@ def stalls(spans: DataFrame) -> DataFrame:
     stalled = (F.col("seq") - F.col("_start")).cast("int")
     return s.select("run_id", "seq", "signature", "is_repeat", stalled.alias("stalled"),
                     (stalled >= 2).alias("flagged"))
-
-
-def _notes_group(pdf: pd.DataFrame, cap: int) -> pd.DataFrame:
-    slot: list[str] = []
-    for text in pdf.sort_values("seq")["note"]:
-        if text and text not in slot:
-            slot.append(text)
-            del slot[:-cap]
-    return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "slot": pdf["slot"].iloc[0],
-                         "position": range(1, len(slot) + 1), "note": slot})
-
-
-def bounded_notes(notes: DataFrame, cap: int = 8) -> DataFrame:
-    """Per (run, slot) keep distinct notes, newest ``cap``; an evicted note may
-    re-enter. The rule is sequential, so it runs per group in pandas
-    (``applyInPandas``); a group is one slot of one agent run, bounded by the
-    agent's step budget."""
-    return notes.groupBy("run_id", "slot").applyInPandas(
-        lambda pdf: _notes_group(pdf, cap),
-        schema="run_id string, slot string, position int, note string")

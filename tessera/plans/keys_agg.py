@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attempts as W
 from ..operators import board as B
+from ..operators.carried import bounded_notes
 from ..sources.tables import tables
 from . import derived as D
 from .derived_sql import ATTEMPTS, CALLS, QUESTIONS, ROUNDS, RUNS, SPANS, fold, with_
@@ -315,6 +316,19 @@ def notes_from_spans(spans):
                         F.concat(F.lit("note "), (F.col("k") % 11).cast("string")).alias("note"))
 
 
-@reg("win_bounded_notes")
+# The rule note by note: at most one round for each note of the longest slot.
+NOTES_SQL = with_(SPANS).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+n AS (SELECT run_id, slot, note, row_number() OVER (PARTITION BY run_id, slot ORDER BY seq, note) AS i
+      FROM (SELECT run_id, agent AS slot, seq, concat('note ', CAST(k % 11 AS VARCHAR)) AS note FROM spans) x),
+held AS (SELECT run_id, slot, i, [note] AS kept FROM n WHERE i = 1
+         UNION ALL
+         SELECT n.run_id, n.slot, n.i, CASE WHEN list_contains(h.kept, n.note) THEN h.kept ELSE list_append(h.kept, n.note)[-8:] END
+         FROM held h JOIN n ON n.run_id = h.run_id AND n.slot = h.slot AND n.i = h.i + 1),
+ends AS (SELECT run_id, slot, arg_max(kept, i) AS kept FROM held GROUP BY run_id, slot)
+SELECT run_id, slot, CAST(position AS INTEGER) AS position, kept[position] AS note
+FROM (SELECT run_id, slot, kept, unnest(range(1, len(kept) + 1)) AS position FROM ends) e""".replace(")\n,\nn AS", "),\nn AS")
+
+
+@reg("win_bounded_notes", NOTES_SQL)
 def win_bounded_notes(spark, d):
-    return W.bounded_notes(notes_from_spans(D.spans(tables(spark, d).events)), 8)
+    return bounded_notes(notes_from_spans(D.spans(tables(spark, d).events)), 8)

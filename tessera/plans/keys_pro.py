@@ -1,8 +1,13 @@
 """PRO keys over all fourteen test tables."""
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators import sketches as S
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import TABLE_NAMES, load_tables
 from .registry import register
 
@@ -162,3 +167,15 @@ UNION ALL SELECT name, 'unknown', -1 FROM props WHERE lower(name) NOT IN (SELECT
 def pro_subset(spark, d):
     props = spark.createDataFrame([(p,) for p in PROPOSALS], "name string")
     return P.subset(_catalog(spark, d), props, P.row_counts(_t(spark, d)))
+
+
+@register("pro_column_sketches")  # estimates are beyond SQL: their bounds are tested
+def pro_column_sketches(spark, d):
+    """Sketches of every file of every table, united into one profile a table."""
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    out = []
+    for name in sorted(_t(spark, d)):
+        path, own = f"{d}/{name}.parquet", f"{store}/{name}"
+        S.refresh(spark, path, own)
+        out.append(S.profile(spark, path, own).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import values as V
+from ..operators.blocks import closest_by_blocks
 from ..sources.tables import load_tables
 from .keys_pro import CATALOG_SQL, KEYS
 from .registry import register
@@ -74,6 +75,12 @@ def val_closest(spark, d):
     return V.closest(_needles(t), _dict(spark, d)).withColumn("rank", F.col("rank").cast("int"))
 
 
+@register("val_closest_blocks")  # matching blocks are beyond SQL: compared with plain code in the tests
+def val_closest_blocks(spark, d):
+    t = load_tables(spark, d, register=False)
+    return closest_by_blocks(_needles(t), _dict(spark, d))
+
+
 PRED_SQL = """preds AS (
   SELECT DISTINCT concat('q:', lower(split_part(o_orderpriority, '-', 2))) AS query_id, 'orders' AS table_name,
          'o_orderpriority' AS column_name, lower(split_part(o_orderpriority, '-', 2)) AS literal FROM orders

@@ -7,6 +7,7 @@ from tessera.functions.normalise import normalise_rows
 from tessera.operators import attempts as W
 from tessera.operators import compare as C
 from tessera.operators import querylog as L
+from tessera.operators.carried import bounded_notes
 from tessera.plans.ordered import ordered_scan, previous_value
 
 
@@ -143,7 +144,7 @@ def test_stalls(spark):
 def test_bounded_notes_reentry(spark):
     notes = spark.createDataFrame([("r", "s", i, n) for i, n in enumerate(["A", "B", "A", "C", "A"])],
                                   "run_id string, slot string, seq int, note string")
-    got = [r.note for r in W.bounded_notes(notes, 2).orderBy("position").collect()]
+    got = [r.note for r in bounded_notes(notes, 2).orderBy("position").collect()]
     assert got == ["C", "A"]  # A is known at first, evicted by C, and comes in again
 
 
