@@ -3,7 +3,9 @@
 Breadth-first frontier loop: each round joins the frontier to the edges,
 removes visited nodes with ``left_anti`` and keeps one row per new node (its
 lexically smallest predecessor, ``min``: a partial aggregate, so a hub's
-neighbours are combined before the shuffle). Lineage is cut every round with a
+neighbours are combined before the shuffle). As edges go both ways, a neighbour of the
+frontier is in it, in the one before or new, so only these two are looked through and a
+round costs what its frontier does. Lineage is cut every round with a
 reliable ``checkpoint`` (into ``spark.checkpoint.dir``) of the new nodes alone, so
 a lost executor replays at most one round; the loop ends when the frontier is empty.
 """
@@ -24,24 +26,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """sources(node) → (source, node, hops, via) for every reachable node; the source
     itself is not reported (same node → no row)."""
     e = undirected(edges).checkpoint()
-    visited = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via"))
-    frontier = visited
+    frontier = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")).distinct().checkpoint()
+    start = before = frontier
     found, h = [], 0
     while True:
         h += 1
         nxt = (frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), F.col("src").alias("via"))
-               .join(visited.select("source", "node"), ["source", "node"], "left_anti")
                .groupBy("source", "node").agg(F.min("via").alias("via"))
+               .join(frontier.select("source", "node").union(before.select("source", "node")), ["source", "node"], "left_anti")
                .withColumn("hops", F.lit(h))).checkpoint()
         if nxt.isEmpty():
             break
         found.append(nxt)
-        visited = visited.unionByName(nxt.select("source", "node", "hops", "via"))
-        if h % 16 == 0:
-            visited = visited.checkpoint()  # one plan node per round otherwise
-        frontier = nxt
+        before, frontier = frontier, nxt
     if not found:
-        return visited.limit(0).select("source", "node", "hops", "via")
+        return start.limit(0).select("source", "node", "hops", "via")
     return reduce(lambda a, b: a.unionByName(b), found).select("source", "node", "hops", "via")
 
 
