@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,28 @@ def test_identifiers_by_length_bands(spark):
         scored = [(1 - _levenshtein(x, t) / max(len(x), len(t)), t) for t in names if t]
         near = sorted((-s, len(t), t) for s, t in scored if s >= 0.6)
         assert got.get(i) == (near[0][2] if near else None), x
+
+
+def test_a_set_is_sent_to_few_meetings(spark, monkeypatch):
+    """Before, a set was sent out once for each 512 others of its scope, tokens and all."""
+    monkeypatch.setattr(setgrid, "TILE", 8)
+    rnd = random.Random(4)
+    rows = [(i, "x", 20, [*range(i % 9, i % 9 + 12), *sorted(rnd.sample(range(100, 900), 8))]) for i in range(1000)]
+    nodes = spark.createDataFrame(rows, "node long, part string, n int, toks array<long>")
+    assert setgrid.grid(nodes, 0.25).count() <= 1000 * (setgrid.LEAST_BLOCKS + 1)
+    got = {(r.a, r.b): r.relevance for r in setgrid.grid_links(nodes, 0.25, setgrid.keep_all, []).collect()}
+    sets = [set(r[3]) for r in rows]
+    want = {(i, j): _jaccard(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and _jaccard(a, b) >= 0.25}
+    assert got == want
+
+
+def test_two_tiles_equal_all_pairs(monkeypatch):
+    rnd = np.random.default_rng(5)
+    for many in (0, 16, 10**6):
+        monkeypatch.setattr(setgrid, "MANY", many)
+        for high, words in ((6, 20), (60, 400), (400, 3000)):
+            sets = [[np.unique(rnd.integers(0, words, rnd.integers(1, high))).astype(np.int64) + 2**33 * int(rnd.integers(0, 2)) for _ in range(30)] for _ in range(2)]
+            a, b = (setgrid.Tile(setgrid.pack(pa.table({"node": pa.array(range(30)), "toks": pa.array(s, pa.list_(pa.int64()))})), []) for s in sets)
+            assert all((a.toks(i) == x).all() for i, x in enumerate(sets[0]))
+            got, want = setgrid.tile_relevance(a, b, 0.25), setgrid.relevance(*sets, 0.25)
+            assert (want == (-1 if got is None else got)).all()
