@@ -153,6 +153,23 @@ def test_approximate_recall_finds_most(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_approximate_recall_in_hot_buckets_and_scopes(spark, monkeypatch):
+    """Few candidates among unlike sets, every near copy of a large group, none across scopes."""
+    import random
+    rnd = random.Random(6)
+    monkeypatch.setattr(S, "HOT", 8)
+    group = rnd.sample(range(400), 40)
+    sets = [(i, "xy"[i % 2], [f"w{w}" for w in ([*group[:39], 500 + i] if i < 60 else rnd.sample(range(400), 30))]) for i in range(200)]
+    q = spark.createDataFrame([(i, s, k, i) for i, s, k in sets], "qid long, scope string, kw array<string>, seq long")
+    lessons = q.withColumnRenamed("qid", "lid")
+    exact = {(r.qid, r.lid, r.relevance) for r in S.recall(q.drop("seq"), lessons, 3, 0.25).collect()}
+    near = {(r.qid, r.lid, r.relevance) for r in S.recall_approx(q, lessons, 3, 0.25).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) and {x for x in exact if x[0] < 60} <= near
+    nodes, _ = S.nodes_of(q.select(F.col("qid").alias("id"), "scope", "kw"))
+    far = nodes.where("node IS NOT NULL").limit(0)
+    assert S.minhash_links(far, 0.25, 4).count() == 0
+
+
 def test_running_sums_of_any_doubles(spark):
     """Sums that six decimals cannot hold, next to ones that they do."""
     import math
