@@ -1,6 +1,8 @@
 """Operator families on small inputs: TXT, VOT, VAL, PRO, SMP, SIM, OPS."""
 
+import hashlib
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,21 @@ def test_sample_sizes_are_exact_and_limited_before_the_shuffle(spark):
         assert S.stratified_sample(df, "s", "id", n, 3).count() == min(n, 1000)
     plan = S.stratified_sample(df, "s", "id", 10, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_only_the_least_hashes_of_a_stratum_are_dealt(spark, monkeypatch):
+    """The draws of every seed as by plain ranking, with keys that come often and null keys;
+    before, each row went through the shuffle once for each seed."""
+    rows = [(i if i % 10 else 7, "ab"[i % 3 == 0]) for i in range(6000)] + [(None, "a"), (5, None), (1, "c")]
+    df = spark.createDataFrame(rows, "key long, s string")
+    sizes = {s: sum(x == s for _, x in rows) for s in "abc"}
+    seats = {r.stratum: r.seats for r in S.apportion(spark.createDataFrame(list(sizes.items()), "stratum string, size long"), 300).collect()}
+
+    def least(seed, s):
+        of = [(hashlib.md5(f"{seed}:{k}".encode()).hexdigest() if k is not None else "", k or 0) for k, x in rows if x == s]
+        return [(k if h else None, s) for h, k in sorted(of)[:seats[s]]]
+
+    for spare in (S.SPARE, 0.0):  # without spare hashes, strata have to be read again
+        monkeypatch.setattr(S, "SPARE", spare)
+        got = Counter((r.key, r.stratum) for r in S._draws(df, "s", "key", 300, [3, 4]).collect())
+        assert got == Counter(x for seed in (3, 4) for s in sizes for x in least(seed, s))
