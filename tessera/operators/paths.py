@@ -5,7 +5,9 @@ removes visited nodes with ``left_anti`` and keeps one row per new node (its
 lexically smallest predecessor, ``min``: a partial aggregate, so a hub's
 neighbours are combined before the shuffle). As edges go both ways, a neighbour of the
 frontier is in it, in the one before or new, so only these two are looked through and a
-round costs what its frontier does. Lineage is cut every round with a
+round costs what its frontier does. The edges are dealt once, by (source node, slot of the
+other end), so that a hub's neighbours lie in several tasks; a round deals only its frontier,
+a row for each slot, and reads the edges where they are. Lineage is cut every round with a
 reliable ``checkpoint`` (into ``spark.checkpoint.dir``) of the new nodes alone, so
 a lost executor replays at most one round; the loop ends when the frontier is empty.
 """
@@ -17,21 +19,43 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir, shuffle_partitions
+
+SLOTS = 8
+
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """(src, slot, dst) both ways, each once, dealt and sorted by (src, slot)."""
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = edges.select(F.explode(ends).alias("x")).select("x.src", F.pmod(F.xxhash64("x.dst"), F.lit(SLOTS)).cast("int").alias("slot"), "x.dst")
+    return both.repartition(shuffle_partitions(edges.sparkSession), "src", "slot").distinct().sortWithinPartitions("src", "slot")
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    """``undirected`` edges written down. A checkpoint keeps how its rows are dealt and
+    sorted only without adaptive execution, which is off for this one job."""
+    conf, adaptive = edges.sparkSession.conf, "spark.sql.adaptive.enabled"
+    ensure_checkpoint_dir(edges.sparkSession)
+    was = conf.get(adaptive)
+    conf.set(adaptive, "false")
+    try:
+        return undirected(edges).checkpoint()
+    finally:
+        conf.set(adaptive, was)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """sources(node) → (source, node, hops, via) for every reachable node; the source
     itself is not reported (same node → no row)."""
-    e = undirected(edges).checkpoint()
+    e = _dealt(edges)
+    slots = F.explode(F.array(*[F.lit(i) for i in range(SLOTS)]))
     frontier = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")).distinct().checkpoint()
     start = before = frontier
     found, h = [], 0
     while True:
         h += 1
-        nxt = (frontier.join(e, frontier.node == e.src).select("source", F.col("dst").alias("node"), F.col("src").alias("via"))
+        ahead = frontier.select("source", F.col("node").alias("src"), slots.alias("slot"))
+        nxt = (ahead.join(e, ["src", "slot"]).select("source", F.col("dst").alias("node"), F.col("src").alias("via"))
                .groupBy("source", "node").agg(F.min("via").alias("via"))
                .join(frontier.select("source", "node").union(before.select("source", "node")), ["source", "node"], "left_anti")
                .withColumn("hops", F.lit(h))).checkpoint()

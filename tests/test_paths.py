@@ -3,7 +3,9 @@
 import random
 from collections import deque
 
-from tessera.operators.paths import shortest_paths
+from pyspark.sql import functions as F
+
+from tessera.operators.paths import _dealt, shortest_paths
 
 
 def by_hand(edges, sources):
@@ -38,3 +40,16 @@ def test_paths_with_hubs_cycles_loops_and_long_chains(spark):
 def test_paths_without_edges(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert shortest_paths(none, spark.createDataFrame([("a",)], "node string")).count() == 0
+
+
+def test_a_round_deals_only_its_frontier(spark):
+    """The edges stay where they were dealt; before, each round dealt all of them again."""
+    edges = _dealt(spark.createDataFrame([("hub", f"n{i}") for i in range(64)], "src string, dst string"))
+    assert {r.src: r.n for r in edges.groupBy("src").agg(F.countDistinct("slot").alias("n")).collect()}["hub"] > 4
+    ahead = spark.createDataFrame([("hub", 1), ("n3", 2)], "src string, slot int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ahead.join(edges, ["src", "slot"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
