@@ -265,7 +265,9 @@ def _cluster_links(texts: DataFrame, wide: DataFrame, block: int) -> DataFrame:
     """Links between different components of ``wide(key, node, component)``: nodes that
     meet in a bucket, directly or through others, are compared block by block."""
     first = staged(wide.groupBy("key").agg(F.min("node").alias("b")), "first")
-    cluster = components(wide.join(first, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct())
+    met = staged(wide.join(first, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "met")
+    # a node's least link joins nearly all; only links that are still between components are followed from there
+    cluster = _grown(components(met.groupBy("a").agg(F.min("b").alias("b"))), met)
     cluster = staged(cluster.select("node", F.col("component").alias("cluster")).join(wide.select("node", "component").distinct(), "node"), "clusters")
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = cluster.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -92,3 +92,14 @@ def test_every_pair_within_the_distance_is_enumerated():
         wrong = set(rnd.sample(range(N.SYMBOLS), N.DISTANCE))
         assert any(len(wrong & set(range(c, c + N.CHUNK))) <= 1 for c in range(0, N.SYMBOLS, N.CHUNK))
         assert N.SYMBOLS - len(wrong) > N.SYMBOLS - N.DISTANCE - 1
+
+
+def test_clusters_follow_one_link_of_a_node_first(spark, monkeypatch):
+    """Before, every label round joined all links of all wide buckets."""
+    rnd, seen, whole = random.Random(3), [], N.components
+    monkeypatch.setattr(N, "components", lambda links: seen.append((links.count(), links.select("a").distinct().count())) or whole(links))
+    wide = spark.createDataFrame([(k, n, n) for n in range(40) for k in rnd.sample(range(12), 6)], "key long, node long, component long")
+    texts = spark.createDataFrame([(n, "one two three four five six") for n in range(40)], "row long, text string")
+    links = N._cluster_links(texts, wide, 8)
+    assert seen[0][0] == seen[0][1] < 40
+    assert {(r.node, r.component) for r in whole(links).collect()} == {(n, 0) for n in range(40)}
