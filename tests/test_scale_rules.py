@@ -165,6 +165,8 @@ def test_approximate_recall_in_hot_buckets_and_scopes(spark, monkeypatch):
     exact = {(r.qid, r.lid, r.relevance) for r in S.recall(q.drop("seq"), lessons, 3, 0.25).collect()}
     near = {(r.qid, r.lid, r.relevance) for r in S.recall_approx(q, lessons, 3, 0.25).collect()}
     assert len(exact & near) >= 0.9 * len(exact) and {x for x in exact if x[0] < 60} <= near
+    again = q.union(q)
+    assert {(r.qid, r.lid, r.relevance) for r in S.recall_approx(again, again.withColumnRenamed("qid", "lid"), 3, 0.25).collect()} == near
     nodes, _ = S.nodes_of(q.select(F.col("qid").alias("id"), "scope", "kw"))
     far = nodes.where("node IS NOT NULL").limit(0)
     assert S.minhash_links(far, 0.25, 4).count() == 0
