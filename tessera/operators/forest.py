@@ -10,6 +10,10 @@ size and is pointed to by one other at most, so no round has a hot key. Counting
 gives the position, entries less exits the depth, and the difference of a node's two
 positions the size of its subtree.
 
+A run of up to ``WHOLE`` nodes needs no joins: runs are dealt by ``run_id``, sorted by ``seq``,
+and the same tour is linked and ranked on arrays, a batch of whole runs at a time. Memory is
+that of a batch and a run of ``WHOLE``. Larger runs are ranked as rows of a frame.
+
 A node whose parent is not in its group is a root. Nodes on a cycle, and below one, hang on no
 root and are left out, as a walk from the roots would.
 """
@@ -17,13 +21,21 @@ root and are left out, as a walk from the roots would.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.joins import bounded
 from ..plans.ordered import ordered_scan, same
 from ..session import ensure_checkpoint_dir
 
+WHOLE = 1 << 16  # nodes of a run that one task ranks on arrays
+
 
 def _tour(nodes: DataFrame) -> DataFrame:
     """``run_id, seq, exit, next_seq, next_exit``: each pass and the one that follows it
@@ -42,11 +54,92 @@ def _tour(nodes: DataFrame) -> DataFrame:
     return full.select("run_id", "seq", F.explode(F.array(entered, left)).alias("x")).select("run_id", "seq", "x.*")
 
 
-def preorder(nodes: DataFrame) -> tuple[DataFrame, int]:
+def _starts(run: pa.ChunkedArray) -> np.ndarray:
+    """Where each run begins in a sorted column of runs; null is a run of its own."""
+    a, b = run.slice(1), run.slice(0, max(len(run) - 1, 0))
+    differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    return np.r_[0, np.flatnonzero(differ.to_numpy()) + 1]
+
+
+def _walk(nodes: pa.Table) -> pa.Table:
+    """The positions of whole runs, their nodes sorted by run and ``seq``."""
+    n, starts = len(nodes), _starts(nodes["run_id"])
+    sizes = np.diff(np.r_[starts, n])
+    run, seq = np.repeat(np.arange(len(starts)), sizes), nodes["seq"].to_numpy()
+    known = nodes["parent_seq"].is_valid().to_numpy()
+    wanted = pc.if_else(nodes["parent_seq"].is_valid(), nodes["parent_seq"], nodes["seq"]).to_numpy()
+    values = np.unique(seq)
+    here, there = np.searchsorted(values, seq), np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    keys, sought = run * len(values) + here, run * len(values) + there
+    at = np.minimum(np.searchsorted(keys, sought), n - 1)
+    parent = np.where(known & (values[there] == wanted) & (keys[at] == sought), at, n + run)  # roots are children of their run
+
+    # passes: i enters node i, n + i leaves it, 2n is the end
+    end = 2 * n
+    order = np.argsort(parent, kind="stable")
+    opens = np.r_[True, parent[order][1:] != parent[order][:-1]]
+    sibling, child = np.full(n, -1), np.full(n, -1)
+    sibling[order[:-1]] = np.where(opens[1:], -1, order[1:])
+    first = order[opens & (parent[order] < n)]
+    child[parent[first]] = first
+    nodes_at = np.arange(n)
+    after = np.r_[np.where(child >= 0, child, n + nodes_at), np.where(sibling >= 0, sibling, np.where(parent < n, n + parent, end)), end]
+    entries, depth = np.r_[np.ones(n, np.int64), np.zeros(n + 1, np.int64)], np.r_[np.ones(n, np.int64), -np.ones(n, np.int64), 0]
+    for _ in range(math.ceil(math.log2(2 * sizes.max())) + 1):
+        if (after == end).all():
+            break
+        entries, depth, after = entries + entries[after], depth + depth[after], after[after]
+    ranked = after[:n] == end  # what still points somewhere is on a cycle
+    total = np.bincount(run[ranked], minlength=len(starts))
+    kept = np.flatnonzero(ranked)
+    out = nodes.select(["run_id", "seq"]).take(pa.array(kept)).combine_chunks()
+    for name, x in (("position", total[run] - entries[:n] + 1), ("depth", -depth[:n]), ("below", entries[:n] - entries[n:end] - 1)):
+        out = out.append_column(name, pa.array(x[kept], pa.int64()))
+    return out
+
+
+def _walk_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_walk`` over sorted batches; the last run of a batch waits for the next one."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not len(table):
+            continue
+        last = held[-1].slice(len(held[-1]) - 1) if held else table.slice(0, 0)
+        cut = _starts(pa.concat_tables([last, table])["run_id"])[-1] - len(last)
+        if held and cut >= 0:
+            yield from _walk(pa.concat_tables([*held, table.slice(0, cut)])).to_batches()
+            held = [table.slice(cut)]
+        elif cut > 0:
+            yield from _walk(table.slice(0, cut)).to_batches()
+            held = [table.slice(cut)]
+        else:
+            held.append(table)
+    if held:
+        yield from _walk(pa.concat_tables(held)).to_batches()
+
+
+def preorder(nodes: DataFrame, whole: int = WHOLE) -> tuple[DataFrame, int]:
     """``run_id, seq, position, depth, below`` of ``nodes(run_id, seq, parent_seq)``, siblings
-    by ``seq``, positions from 1 in each run, and the rounds it took."""
+    by ``seq``, positions from 1 in each run, and the rounds that runs of more than ``whole``
+    nodes took (0: no such run). ``seq`` names a node in its run."""
     ensure_checkpoint_dir(nodes.sparkSession)
     nodes = nodes.select("run_id", "seq", "parent_seq").checkpoint()
+    large = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), F.count("seq").alias("_known")).where(
+        (F.col("_n") > whole) | (F.col("_known") < F.col("_n"))).select(F.col("run_id").alias("_r")).checkpoint()
+    out, rounds, small = None, 0, nodes
+    if not large.isEmpty():
+        large = bounded(large)
+        held = F.col("run_id").eqNullSafe(F.col("_r"))
+        out, rounds = _ranked(nodes.join(large, held, "left_semi").checkpoint())
+        small = nodes.join(large, held, "left_anti")
+    schema = T.StructType([*small.select("run_id", "seq").schema, *(T.StructField(c, T.LongType()) for c in ("position", "depth", "below"))])
+    walked = small.repartition("run_id").sortWithinPartitions("run_id", "seq").mapInArrow(_walk_runs, schema)
+    return (walked.unionByName(out) if out is not None else walked), rounds
+
+
+def _ranked(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """``preorder`` of runs of any size, as rows of a frame."""
     step = _tour(nodes)
     # entries and depth from this pass up to the one that the pointer names
     passes = step.withColumns({"entries": F.when(F.col("exit"), 0).otherwise(1).cast("long"), "depth": F.when(F.col("exit"), -1).otherwise(1).cast("long")}).checkpoint()

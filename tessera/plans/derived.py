@@ -154,11 +154,20 @@ def span_log(events: DataFrame) -> DataFrame:
     return s.withColumn("signature", F.concat(F.col("agent"), F.lit("|"), (F.col("k") % 3).cast("string")))
 
 
+def _numbered(log: DataFrame) -> DataFrame:
+    s = ordered_scan(log, ["run_id"], ["ts", "span_id"], seq="seq")
+    return s.withColumn("parent_seq", (F.col("seq") / 2).cast("int"))
+
+
 def spans(events: DataFrame) -> DataFrame:
     """Spans numbered by (ts, event_id) within their run; parent = seq // 2 (a
     deterministic tree, seq 1 is the root)."""
-    s = ordered_scan(span_log(events), ["run_id"], ["ts", "span_id"], seq="seq")
-    return s.withColumn("parent_seq", (F.col("seq") / 2).cast("int"))
+    return _numbered(span_log(events))
+
+
+def span_tree(events: DataFrame) -> DataFrame:
+    """``run_id, seq, parent_seq`` of ``spans``, with no other column dealt or frozen."""
+    return _numbered(span_log(events).select("run_id", "span_id", "ts")).select("run_id", "seq", "parent_seq")
 
 
 def calls_log(events: DataFrame) -> DataFrame:

@@ -340,7 +340,7 @@ t(run_id, seq, depth, path) AS (
   FROM spans c JOIN t ON c.run_id = t.run_id AND c.parent_seq = t.seq)
 SELECT run_id, seq, depth, path FROM t""")
 def ops_spans_flat(spark, d):
-    return O.spans_flat(_spans(spark, d))
+    return O.spans_flat(D.span_tree(tables(spark, d).events))
 
 
 @register("ops_spans_preorder", "WITH RECURSIVE " + SPANS + """,
@@ -353,7 +353,7 @@ t(run_id, seq, depth, path) AS (
 SELECT run_id, seq, CAST(row_number() OVER (PARTITION BY run_id ORDER BY path) AS BIGINT) AS position, CAST(depth AS BIGINT) AS depth,
        (SELECT count(*) FROM t u WHERE u.run_id = t.run_id AND starts_with(u.path, concat(t.path, '/'))) AS below FROM t""")
 def ops_spans_preorder(spark, d):
-    return FO.preorder(_spans(spark, d))[0]
+    return FO.preorder(D.span_tree(tables(spark, d).events))[0]
 
 
 @register("ops_agents_used", with_(SPANS) + """

@@ -236,6 +236,38 @@ def test_preorder_of_a_very_deep_chain(spark):
     assert (got.n, got.d, got.bad, got.under) == (n, n - 1, 0, 0)
 
 
+def test_preorder_of_small_runs_needs_no_rounds(spark):
+    """Runs that fit are ranked on arrays, whatever a batch holds; the others by rounds, beside them."""
+    import random
+    rnd, rows = random.Random(9), []
+    for run in [None, "", *(f"r{i}" for i in range(30)), "chain", "wide"]:
+        n = 70 if run in (None, "chain", "wide") else rnd.randrange(1, 20)
+        names = rnd.sample(range(-2**31, 2**31 - 1), n)
+        for i, s in enumerate(names):
+            parent = names[0] if run == "wide" else names[i - 1] if run == "chain" else rnd.choice([None, 2**40, *names[:i]])
+            rows.append((run, s, parent if i else None))
+    rows += [("ring", 1, 2), ("ring", 2, 1), ("ring", 3, 2), ("ring", 4, None), ("ring", 5, 4), ("alone", 1, 1)]
+    want = _walk(rows)
+    df = spark.createDataFrame(rows, "run_id string, seq int, parent_seq long").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch, whole in ((before, FO.WHOLE), ("7", FO.WHOLE), ("1", 69), ("7", 0)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            out, rounds = FO.preorder(df, whole)
+            got = out.collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert {(r.run_id, r.seq): (r.position, r.depth, r.below) for r in got} == want and len(got) == len(want)
+        assert rounds == 0 if whole == FO.WHOLE else 0 < rounds <= 12
+
+
+def test_span_tree_is_that_of_the_spans(spark, t):
+    from tessera.plans import derived as D
+    tree, rounds = FO.preorder(D.span_tree(t.events))
+    rows = [(r.run_id, r.seq, r.parent_seq) for r in D.spans(t.events).select("run_id", "seq", "parent_seq").collect()]
+    assert rounds == 0 and {(r.run_id, r.seq): (r.position, r.depth, r.below) for r in tree.collect()} == _walk(rows)
+
+
 def test_suites_are_graded_side_by_side(spark, t):
     """200 pairs over a few query texts; one that fails, while it runs, is charged alone."""
     from tessera.plans import keys_grd as G
