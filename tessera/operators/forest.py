@@ -21,6 +21,7 @@ root and are left out, as a walk from the roots would.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,18 +139,27 @@ def preorder(nodes: DataFrame, whole: int = WHOLE) -> tuple[DataFrame, int]:
     return (walked.unionByName(out) if out is not None else walked), rounds
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written beside the checkpoints and read again. A checkpointed frame keeps the size
+    that was estimated for it, a product over all joins so far whose digits double with each
+    round, and what was inferred of its rows; a file has a size of its own."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ranked(nodes: DataFrame) -> tuple[DataFrame, int]:
     """``preorder`` of runs of any size, as rows of a frame."""
     step = _tour(nodes)
     # entries and depth from this pass up to the one that the pointer names
-    passes = step.withColumns({"entries": F.when(F.col("exit"), 0).otherwise(1).cast("long"), "depth": F.when(F.col("exit"), -1).otherwise(1).cast("long")}).checkpoint()
+    passes = _kept(step.withColumns({"entries": F.when(F.col("exit"), 0).otherwise(1).cast("long"), "depth": F.when(F.col("exit"), -1).otherwise(1).cast("long")}))
     limit, rounds = math.ceil(math.log2(max(2 * nodes.count(), 2))) + 1, 0
     while rounds < limit and not passes.where("next_seq IS NOT NULL").isEmpty():
         ahead = passes.select(F.col("run_id").alias("_r"), F.col("seq").alias("_s"), F.col("exit").alias("_e"), F.col("next_seq").alias("_ns"),
                               F.col("next_exit").alias("_ne"), F.col("entries").alias("_en"), F.col("depth").alias("_d"))
         moving = passes.where("next_seq IS NOT NULL").alias("a").join(ahead.alias("b"), same("a", "b", [("run_id", "_r"), ("next_seq", "_s"), ("next_exit", "_e")])).select(
             "run_id", "seq", "exit", F.col("_ns").alias("next_seq"), F.col("_ne").alias("next_exit"), (F.col("entries") + F.col("_en")).alias("entries"), (F.col("depth") + F.col("_d")).alias("depth"))
-        passes = passes.where("next_seq IS NULL").unionByName(moving).checkpoint()
+        passes = _kept(passes.where("next_seq IS NULL").unionByName(moving))
         rounds += 1
     ranked = passes.where("next_seq IS NULL")  # what still points somewhere is on a cycle
     both = ranked.groupBy("run_id", "seq").agg(F.max(F.when(~F.col("exit"), F.col("entries"))).alias("_in"), F.max(F.when(F.col("exit"), F.col("entries"))).alias("_out"),

@@ -268,6 +268,14 @@ def test_span_tree_is_that_of_the_spans(spark, t):
     assert rounds == 0 and {(r.run_id, r.seq): (r.position, r.depth, r.below) for r in tree.collect()} == _walk(rows)
 
 
+def test_estimates_of_rounds_stay_small(spark):
+    """Spark plans each join by estimated sizes; their digits must not grow with the rounds."""
+    chain = spark.range(1024).select(F.lit("r").alias("run_id"), F.col("id").alias("seq"), (F.col("id") - 1).alias("parent_seq"))
+    out, rounds = FO.preorder(chain, 0)
+    size = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert rounds >= 11 and size < 1000
+
+
 def test_suites_are_graded_side_by_side(spark, t):
     """200 pairs over a few query texts; one that fails, while it runs, is charged alone."""
     from tessera.plans import keys_grd as G
