@@ -199,3 +199,72 @@ def test_two_tiles_equal_all_pairs(monkeypatch):
             assert all((a.toks(i) == x).all() for i, x in enumerate(sets[0]))
             got, want = setgrid.tile_relevance(a, b, 0.25), setgrid.relevance(*sets, 0.25)
             assert (want == (-1 if got is None else got)).all()
+
+
+def _block(sets):
+    return setgrid.Block(setgrid.pack_block(pa.table({"node": pa.array(range(len(sets))), "n": pa.array([len(s) for s in sets], pa.int32()), "toks": pa.array(sets, pa.list_(pa.int64()))}), []), [])
+
+
+def test_two_blocks_equal_all_pairs(monkeypatch):
+    rnd = np.random.default_rng(8)
+    for long_posting, held in ((1, 1), (25, 1 << 20), (10**6, 7)):
+        monkeypatch.setattr(setgrid, "LONG_POSTING", long_posting)
+        monkeypatch.setattr(setgrid, "HELD", held)
+        for high, exponent in ((6, 2.0), (60, 1.3), (500, 1.2)):
+            a, b = ([np.unique(np.r_[rnd.zipf(exponent, rnd.integers(1, high)) % 900, rnd.integers(0, 900, 2)]).astype(np.int64) + 2**40 for _ in range(n)] for n in (50, 67))
+            x, y = _block(a), _block(b)
+            for p, q, same in ((x, y, False), (y, x, False), (y, y, True)):
+                sets = [dict(enumerate(a if z is x else b)) for z in (p, q)]
+                want = {(i, j): _jaccard(set(s.tolist()), set(t.tolist())) for i, s in sets[0].items() for j, t in sets[1].items() if not same or i < j}
+                got = {}
+                for at, to, rel in setgrid.block_links(p, q, 0.25, same):
+                    for i, j, r in zip(p.node[at].tolist(), q.node[to].tolist(), rel.tolist(), strict=True):
+                        assert (key := tuple(sorted((i, j))) if same else (i, j)) not in got
+                        got[key] = r
+                assert got == {k: v for k, v in want.items() if v >= 0.25}
+
+
+@pytest.mark.parametrize("links", ["node", "minhash"])
+def test_blocks_are_written_once(spark, monkeypatch, links):
+    """Before, each block was dealt out anew for every meeting, so that what was written grew
+    with the square of a scope's blocks (sim_reach, sim_recall, sim_recall_approx, sim_prompt_block, sim_prequential_reach)."""
+    monkeypatch.setattr(setgrid, "TILE", 8)
+    monkeypatch.setattr(setgrid, "BLOCK", 16)
+    monkeypatch.setattr(M, "HOT", 3)
+    rnd = random.Random(5)
+    rows = [(i, "x", sorted({f"w{rnd.randrange(30)}" for _ in range(20)})) for i in range(400)]
+    nodes, members = M.nodes_of(spark.createDataFrame(rows, "id long, scope string, kw array<string>"))
+    found = M.node_links(nodes, 0.25) if links == "node" else M.minhash_links(nodes, 0.25, 16)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan
+    kw = {r[0]: set(r[2]) for r in rows}
+    node = {}
+    for r in members.collect():
+        node.setdefault(r.node, r.id)
+    got = {(node[r.a], node[r.b]): r.relevance for r in found.collect()}
+    want = {(i, j): _jaccard(kw[i], kw[j]) for i in node.values() for j in node.values() if i != j and _jaccard(kw[i], kw[j]) >= 0.25}
+    assert got == want if links == "node" else got.items() <= want.items() and len(got) > 0.9 * len(want)
+
+
+def test_keywords_of_rows_equal_those_of_columns(spark):
+    texts = ["The Kelvin \u212a sign and \u0130STANBUL, \u00c9cole stra\u00dfe ABC_def x1y22zzz aaa aaa AAA", "", None, "a an the", "their \u0438\u0445 \u03a3\u03a3 foo\u03a3bar __ ___ ab\u00e9cde", "x" * 5000 + " tail_word"]
+    rows = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in texts for y in ("Source One", None, "aaa tail_word"))]
+    docs = spark.createDataFrame(rows, "id int, text string, source string")
+    want = docs.select("id", M.keywords(F.col("text")).alias("a"), M.keywords(F.concat("text", F.lit(" "), "source")).alias("b"))
+    got = M.keyword_sets(docs, "text", "source").select("id", F.col("kw").alias("a"), F.concat("kw", "more_kw").alias("b"))
+    as_sets = lambda df: {r.id: tuple(None if x is None else (len(x), frozenset(x)) for x in (r.a, r.b)) for r in df.collect()}
+    assert as_sets(got) == as_sets(want)
+
+
+def test_numbers_are_by_frequency_among_nodes(spark, monkeypatch):
+    monkeypatch.setattr(M, "HOT", 5)
+    rows = _corpus(90, 3)
+    sets = spark.createDataFrame(rows, "id long, scope string, kw array<string>, seq long")
+    nodes, members, numbers = M.nodes_of(sets, True)
+    kw = {r[0]: r[2] for r in rows}
+    of = {r.node: kw[r.id] for r in members.collect()}
+    df = Counter(w for s in of.values() for w in s)
+    order = {w: i for i, w in enumerate(sorted(df, key=lambda w: (df[w], w)))}
+    got = {r.node: sorted(r.numbers) for r in numbers.collect()}
+    ranks = {x: i for i, x in enumerate(sorted({x for s in got.values() for x in s}))}  # numbers rise, with gaps between partitions
+    assert {n: [ranks[x] for x in s] for n, s in got.items()} == {n: sorted(order[w] for w in s) for n, s in of.items()}
